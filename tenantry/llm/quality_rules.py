@@ -27,7 +27,7 @@ SHARE, STEPS = 0.75, 4
 BOUND = 60.0
 CHI2_MEDIAN = 3.3567
 #: Added to variances, so that a group whose rows agree in a statistic still has a covariance.
-RIDGE = 1e-3
+RIDGE = 0.02
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
@@ -90,7 +90,7 @@ def _distance(x: list[Column], mean: list[Column], cov: dict[tuple[int, int], Co
     for j in range(d):
         for i in range(j, d):
             value = cov[i, j] - functools.reduce(lambda a, k: a + F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}"), range(j), F.lit(0.0))
-            value = F.sqrt(F.greatest(value, F.lit(RIDGE / 10))) if i == j else value / F.col(f"__l{j}{j}")
+            value = F.sqrt(F.greatest(value, F.lit(RIDGE / 100))) if i == j else value / F.col(f"__l{j}{j}")
             start = start.withColumn(f"__l{i}{j}", value)
     for i in range(d):
         value = x[i] - mean[i] - functools.reduce(lambda a, k: a + F.col(f"__l{i}{k}") * F.col(f"__y{k}"), range(i), F.lit(0.0))
