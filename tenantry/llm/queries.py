@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, mixing, quality_rules
+from . import byte_bpe, line_dedup, minhash_dedup, mixing, quality_rules
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_mixing": mixing.op10_mixing,
