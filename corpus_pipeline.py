@@ -1,14 +1,62 @@
-"""The corpus pipeline: quality classifier, line dedup, near-dedup, mixing and encoding, one after another."""
+"""The corpus pipeline: quality classifier, line dedup, near-dedup, mixing and encoding, one after another.
+
+Every stage works on all rows that its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tenantry.llm import byte_bpe, line_dedup, minhash_dedup, mixing, quality_ranker
+from tenantry.llm.common import Scratch, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the ranker, fitted on the labelled ones, does not reject."""
+    ranker = quality_ranker.fit_ranker(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return quality_ranker.score_documents(docs, ranker).filter("predicted = 1").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten documents or more share; n_chars follows the text."""
+    kept = line_dedup.drop_shared_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    verdict = minhash_dedup.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
+    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["doc_id"]), "left_semi")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's number of tokens and digests of its ids and of the text they decode to."""
+    import public_tokenizers
+
+    encoded = byte_bpe.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
-from tenantry.llm import line_dedup, mixing
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("minhash near-dedup", near_duplicates),
+    ("mixing", mixture),
+    ("byte-level bpe", encoding),
+]
+#: SQL cannot express the classifier, the random rounding or the encoding.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on the documents table; each stage's result is written to the shared folder and read again."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import table
 
@@ -197,7 +198,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
     others = [c for c in docs.columns if c != text_col and c not in added]
     schema = docs.select(*others).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<long>")
+        schema = schema.add("ids", ArrayType(LongType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(path, pattern)

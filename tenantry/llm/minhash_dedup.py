@@ -206,7 +206,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
         left = active.join(pivots.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_lists = left.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
         labelled = scratch.write(left.join(open_lists.select("v"), "v", "left_semi"))
-        if __import__("os").environ.get("DBG"): print("ROUND", most, "lists rows", labelled.count(), "pairs", links.count())
         if labelled.isEmpty():
             break
         active = labelled.select("v", "id")

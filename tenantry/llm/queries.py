@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, line_dedup, minhash_dedup, mixing, quality_rules
+from . import byte_bpe, embedding_dedup, license_scan, line_dedup, minhash_dedup, mixing, quality_ranker, quality_rules, token_counts, warc
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_warc_derivatives": warc.op4_warc_derivatives,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_quality_ranker": quality_ranker.op6_quality_ranker,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
