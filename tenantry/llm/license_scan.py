@@ -137,7 +137,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit_licences(corpus: list[str], penalty: float = 1e-3, steps: int = 400, common: float = 0.002) -> LicenceModel:
+def fit_licences(corpus: list[str], penalty: float = 3e-4, steps: int = 1500, common: float = 0.002, none_weight: float = 3.0) -> LicenceModel:
     """Train on the notices above and on paragraphs of the corpus, which count as none unless they speak of licences."""
     classes = (*NOTICES, UNKNOWN_CLASS, NONE)
     rows: list[tuple[list[str], int]] = []
@@ -157,8 +157,8 @@ def fit_licences(corpus: list[str], penalty: float = 1e-3, steps: int = 400, com
         x[i, [at[g] for g in grams(words) if g in at]] = 1.0
     y = np.array([c for _, c in rows])
     back = np.array([zlib.crc32(" ".join(w).encode()) % 5 == 0 for w, _ in rows])  # held back for the temperature
-    share = 1.0 / np.bincount(y, minlength=len(classes))[y]  # each class weighs the same, none as much as all others
-    share *= np.where(y == len(classes) - 1, len(classes) - 1, 1)
+    share = 1.0 / np.bincount(y, minlength=len(classes))[y]  # each class weighs the same, none as some of them
+    share *= np.where(y == len(classes) - 1, none_weight, 1)
     train = ~back
     xt, yt, st = x[train], np.eye(len(classes))[y[train]], (share[train] / share[train].sum())[:, None]
     w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
@@ -235,7 +235,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
         held = F.array_max(F.transform(F.try_element_at(templates, name), lambda t: F.size(F.array_intersect(t, s["grams"])) / F.size(t)))
         none, unknown = F.get(s["p"], n - 1), F.get(s["p"], n - 2)
         known = (best >= model.least) & (best > none) & (best >= unknown) & (held >= contained)
-        label = F.when(known, name).when(none >= F.greatest(best, unknown), NONE).otherwise(UNKNOWN_CLASS)
+        label = F.when(known, name).when(none >= 0.5, NONE).otherwise(UNKNOWN_CLASS)
         return F.struct(s["position"].alias("position"), label.alias("label"), F.when(known, best).otherwise(1.0 - none).alias("confidence"), known.alias("confirmed"))
 
     paragraphs = F.transform(F.split(lowered, re.escape(separator), -1), lambda p, i: F.struct(i.alias("position"), p.alias("p")))
