@@ -35,6 +35,8 @@ K = 48
 #: Least share of a sketch that similar documents have in common, and the least estimate that is confirmed.
 OVERLAP, ESTIMATE = 0.4, 0.4
 SEGMENT = 1 << 20
+#: Ids that are broadcast at most: 32 MB.
+MOST_IDS = 4_000_000
 
 _rng = np.random.default_rng(20240607)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -136,20 +138,42 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, set array<long>")
 
 
-def _tested(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
-    small = reps.select("id", "n", "sketch")
-    a = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+def _close(pairs: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave it possible that they are links."""
+    a = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     sized = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    close = sized.filter(common >= ESTIMATE * F.size(union)).select("a", "b")
-    exact = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
+    return sized.filter(common >= ESTIMATE * F.size(union)).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are links by their full sets."""
+    exact = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
     inter = F.size(F.array_intersect("xa", "xb"))
     return exact.filter(100 * inter >= F.lit(round(threshold * 100)) * (F.size("xa") + F.size("xb") - inter)).select("a", "b")
 
 
+class _Sets:
+    """Full sets of the documents that have come up in a close pair, made as they come up."""
+
+    def __init__(self, source: DataFrame, size: int, scratch: Scratch):
+        self.source, self.size, self.scratch, self.made = source, size, scratch, None
+
+    def of(self, pairs: DataFrame) -> DataFrame | None:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        if self.made is not None:
+            ids = ids.join(self.made.select("id"), "id", "left_anti")
+        ids = self.scratch.write(ids)
+        if n := ids.count():
+            # up to MOST_IDS ids of 8 bytes go to every executor; more are joined by a shuffle of the texts
+            wanted = self.source.join(F.broadcast(ids) if n <= MOST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+            new = self.scratch.write(_full_sets(wanted, self.size))
+            self.made = new if self.made is None else self.made.unionByName(new)
+        return self.made
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs.
 
@@ -183,16 +207,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
     members = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.sum(F.shiftright(F.xxhash64("id"), 20)).alias("s1"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "id"), 20)).alias("s2"))
     distinct = members.filter(F.col("c") > 1).groupBy("c", "s1", "s2").agg(F.min("v").alias("v"))
     active = scratch.write(lists.join(distinct.select("v"), "v", "left_semi"))
-    ids = scratch.write(active.select("id").distinct())
-    sets = scratch.write(_full_sets(source.join(ids, "id", "left_semi").dropDuplicates(["id"]), size))
-
+    sets = _Sets(source, size, scratch)
     comp = None
     pivots = active.groupBy("v").agg(F.min("id").alias("a"))
     most = 1
     while True:
-        pairs = active.join(pivots, "v").filter(F.col("a") != F.col("id")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        links = scratch.write(_tested(scratch.write(pairs), reps, sets, threshold, k))
-        if comp is not None:  # links between components
+        met = active.join(pivots, "v").filter(F.col("a") != F.col("id"))
+        if comp is not None:  # those of one component need no test
+            met = met.filter(F.col("comp") != F.col("top"))
+        pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        close = scratch.write(_close(pairs, reps, threshold, k))
+        full = sets.of(close)
+        links = scratch.write(_confirmed(close, full, threshold) if full is not None else close)
+        if comp is not None:  # as links between components
             ends = links.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
             links = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         found = components(links, scratch)
@@ -203,17 +230,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
             grown = comp.join(new, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
             comp = scratch.write(grown.unionByName(found.join(comp, "id", "left_anti")))
         # what is left: lists with members in several components, less the pivots that have met all others
-        left = active.join(pivots.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        left = active.select("v", "id").join(pivots.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_lists = left.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
         labelled = scratch.write(left.join(open_lists.select("v"), "v", "left_semi"))
         if labelled.isEmpty():
             break
-        active = labelled.select("v", "id")
+        active = labelled.select("v", "id", "comp")
         if most == 1:
-            pivots = labelled.groupBy("v").agg(F.max(F.struct("comp", "id"))["id"].alias("a"))
+            pivots = labelled.groupBy("v").agg(F.max(F.struct("comp", "id")).alias("p")).select("v", F.col("p.id").alias("a"), F.col("p.comp").alias("top"))
         else:
             order = Window.partitionBy("v").orderBy(F.desc("comp"), F.desc("id"))
-            pivots = labelled.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("v", F.col("id").alias("a"))
+            pivots = labelled.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("v", F.col("id").alias("a"), F.col("comp").alias("top"))
         pivots = scratch.write(pivots)
         most *= 2
 
