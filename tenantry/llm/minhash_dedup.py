@@ -2,16 +2,17 @@
 
 One hash function orders all shingles; a document's sketch is the k smallest values of its set. Of two sets with
 Jaccard similarity t, each of the k smallest values of the union lies in both with probability t, so their sketches
-share far more than a bound m of 0.4 k values when t >= 0.8 (at t = 0.8 and k = 48 fewer than 20 shared values have
-a probability of about 1e-8). The steps:
+share far more than a bound m of 0.5 k values when t >= 0.8 (at t = 0.8 and k = 48 fewer than 24 shared values have
+a probability of about 1e-6). The steps:
 
 1. Documents with equal sets form a class; its smallest id stands for it from here on.
 2. Inverted lists of retained values: values are counted, and a document enters only the lists of its rarest
    values, as many as leave fewer than m others. Two documents that share m values meet in such a list, and values
-   that very many documents retain bring nobody together.
+   that very many documents retain bring nobody together. A list is split into bands of set size, as wide as the
+   threshold allows two similar sets to differ; a document is in its own band and the next, so none is missed.
 3. Each list tests its members against a pivot. Lists whose members are in one component are done; the others get
    further pivots, twice as many each round, from the components that are left, until no two members of different
-   components are untested. So a group of thousands of near copies costs a few tests per member, not all pairs, and
+   components are untested, or what is left is so little that all of it is tested at once. So a group of thousands of near copies costs a few tests per member, not all pairs, and
    no pair between different components goes untested.
 4. A test estimates the similarity from the k smallest values of the two sketches' union, and pairs that could
    reach the threshold are confirmed by the intersection of their full sets.
@@ -20,6 +21,7 @@ a probability of about 1e-8). The steps:
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ from .components import components
 
 K = 48
 #: Least share of a sketch that similar documents have in common, and the least estimate that is confirmed.
-OVERLAP, ESTIMATE = 0.4, 0.4
+OVERLAP, ESTIMATE = 0.5, 0.5
 SEGMENT = 1 << 20
+#: Pairs in lists for each document, below which what is left is tested in one round.
+FINISH = 12
 #: Ids that are broadcast at most: 32 MB.
 MOST_IDS = 4_000_000
 
@@ -197,10 +201,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
     postings = reps.select("id", needed.alias("m"), F.explode("sketch").alias("v"))
     counts = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
     shared = postings.join(counts, "v").groupBy("id").agg(F.max("m").alias("m"), F.collect_list(F.struct("c", "v")).alias("vs"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.000001 / threshold))
+    shared = shared.join(reps.select("id", band.alias("band")), "id")
     lists = (
         shared.filter(F.size("vs") >= F.col("m"))
-        .select("id", F.explode(F.slice(F.sort_array("vs"), F.lit(1), (F.size("vs") - F.col("m") + 1).cast("int"))).alias("x"))
-        .select("id", F.col("x.v").alias("v"))
+        .select("id", "band", F.explode(F.slice(F.sort_array("vs"), F.lit(1), (F.size("vs") - F.col("m") + 1).cast("int"))).alias("x"))
+        .select("id", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("v"))
     )
     lists = scratch.write(lists)
     # lists with equal members count once
@@ -208,11 +214,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
     distinct = members.filter(F.col("c") > 1).groupBy("c", "s1", "s2").agg(F.min("v").alias("v"))
     active = scratch.write(lists.join(distinct.select("v"), "v", "left_semi"))
     sets = _Sets(source, size, scratch)
-    comp = None
+    comp, n_reps = None, reps.count()
     pivots = active.groupBy("v").agg(F.min("id").alias("a"))
     most = 1
     while True:
-        met = active.join(pivots, "v").filter(F.col("a") != F.col("id"))
+        met = active.join(pivots, "v").filter(F.col("a") != F.col("id") if most else F.col("a") < F.col("id"))
         if comp is not None:  # those of one component need no test
             met = met.filter(F.col("comp") != F.col("top"))
         pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
@@ -236,6 +242,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
         if labelled.isEmpty():
             break
         active = labelled.select("v", "id", "comp")
+        if most == 0:
+            break
+        per_list = labelled.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        if per_list.agg(F.sum(F.col("c") * F.col("c"))).first()[0] <= FINISH * n_reps:
+            most = 0
+            pivots = labelled.select("v", F.col("id").alias("a"), F.col("comp").alias("top"))
+            continue
         if most == 1:
             pivots = labelled.groupBy("v").agg(F.max(F.struct("comp", "id")).alias("p")).select("v", F.col("p.id").alias("a"), F.col("p.comp").alias("top"))
         else:
