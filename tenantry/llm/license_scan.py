@@ -248,9 +248,14 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
     return docs.withColumn("licences", F.when(gate, found).otherwise(empty))
 
 
-def fit_on(docs: DataFrame, max_docs: int = 300, max_paragraphs: int = 1500, text_col: str = "text") -> LicenceModel:
-    """Train with paragraphs of the ``max_docs`` documents with the smallest hash of their text; the bound keeps the driver's part small."""
-    sample = docs.filter(F.col(text_col).isNotNull()).select(F.substring(text_col, 1, 20_000).alias("t"), F.xxhash64(text_col).alias("h")).orderBy("h", "t").limit(max_docs).collect()
+def fit_on(docs: DataFrame, max_docs: int = 300, max_paragraphs: int = 1500, max_chars: int = 20_000, text_col: str = "text") -> LicenceModel:
+    """Train with paragraphs of the ``max_docs`` distinct texts with the smallest hash, ``max_chars`` characters of each.
+
+    Only hashes are sorted; the bounds keep what the driver gets small, whatever the input's size.
+    """
+    hashed = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, max_chars).alias("t"))
+    last = hashed.select("h").distinct().orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    sample = [] if last is None else hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t")).collect()
     paragraphs = sorted({p for r in sample for p in r["t"].split("\n") if p.strip()}, key=lambda p: (zlib.crc32(p.encode("utf-8", "surrogatepass")), p))
     return fit_licences(paragraphs[:max_paragraphs])
 
