@@ -38,7 +38,7 @@ K = 48
 OVERLAP, ESTIMATE = 0.5, 0.5
 SEGMENT = 1 << 20
 #: Pairs in lists for each document, below which what is left is tested in one round.
-FINISH = 12
+FINISH = 100
 #: Ids that are broadcast at most: 32 MB.
 MOST_IDS = 4_000_000
 
