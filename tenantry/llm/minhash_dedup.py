@@ -8,14 +8,21 @@ a probability of about 1e-6). The steps:
 1. Documents with equal sets form a class; its smallest id stands for it from here on.
 2. Inverted lists of retained values: values are counted, and a document enters only the lists of its rarest
    values, as many as leave fewer than m others. Two documents that share m values meet in such a list, and values
-   that very many documents retain bring nobody together. A list is split into bands of set size, as wide as the
-   threshold allows two similar sets to differ; a document is in its own band and the next, so none is missed.
-3. Each list tests its members against a pivot. Lists whose members are in one component are done; the others get
-   further pivots, twice as many each round, from the components that are left, until no two members of different
-   components are untested, or what is left is so little that all of it is tested at once. So a group of thousands of near copies costs a few tests per member, not all pairs, and
-   no pair between different components goes untested.
-4. A test estimates the similarity from the k smallest values of the two sketches' union, and pairs that could
+   that very many documents retain bring nobody together. Lists are split by pairs of bands of set size, as m is
+   larger the closer two sizes are.
+3. Each list tests its members against one pivot. Lists whose members are then in one component are done.
+4. The documents of the other lists, those of large groups with members that are almost but not quite similar, get
+   deep sketches, most of them whole sets, and lists of their own, in which values are counted within the groups
+   that lists connect. With these m leaves few documents without a link in a list. Where the pairs between different
+   components are few for each document, all of them are tested; else the lists are tested against further pivots
+   outside their largest components, twice as many each round, until that is so. So a group of thousands of near
+   copies costs a few tests per member, not all pairs, and no pair between different components goes untested.
+5. A test estimates the similarity from the k smallest values of the two sketches' union, and pairs that could
    reach the threshold are confirmed by the intersection of their full sets.
+
+The bound m: of two sets A and B with i common values let A's sketch end first. Then the sketches share k less the
+values of A's sketch outside B, a hypergeometric number with mean k (|A| - i) / |A|. m allows Z standard deviations
+and two more, which is exceeded with a probability of about 1e-6, and none where the sketch is the whole set.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import packs
@@ -34,11 +41,15 @@ from .common import Scratch, table
 from .components import components
 
 K = 48
-#: Least share of a sketch that similar documents have in common, and the least estimate that is confirmed.
-OVERLAP, ESTIMATE = 0.5, 0.5
+#: Values of a deep sketch.
+DEEP = 1024
+#: Standard deviations that bounds on sketches allow.
+Z = 5.0
+#: Bands of set size within the largest ratio of two similar sets' sizes, at first and for deep sketches.
+BANDS, DEEP_BANDS = 2, 8
 SEGMENT = 1 << 20
-#: Pairs in lists for each document, below which what is left is tested in one round.
-FINISH = 100
+#: Pairs to test for each document, below which what is left is tested in one round.
+FINISH = 20
 #: Ids that are broadcast at most: 32 MB.
 MOST_IDS = 4_000_000
 
@@ -142,6 +153,54 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, set array<long>")
 
 
+def _most_outside(drawn: Column, share: Column, n: Column) -> Column:
+    """The most values outside a subset among ``drawn`` of n, of which the share lies outside."""
+    sampled = F.greatest(n - drawn, F.lit(0.0)) / F.greatest(n - 1, F.lit(1.0))
+    return drawn * share + F.when(sampled > 0, Z * F.sqrt(drawn * share * (1 - share) * sampled) + 2).otherwise(0.0)
+
+
+def _lists(reps: DataFrame, threshold: float, k: int, bands: int) -> DataFrame:
+    """(v, id, side): the inverted lists in which any two similar documents of ``reps`` (id, n, sketch) meet.
+
+    In a list for two bands they are on sides 0 and 1, in one for a single band all are on side 2.
+    """
+    t, step = threshold, math.log(1.000001 / threshold) / bands
+    postings = reps.select("id", "n", F.explode("sketch").alias("v"))
+    counts = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
+    shared = postings.join(counts, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
+    n = F.col("n").cast("double")
+    own = F.floor(F.log(n) / step)
+    low, high = F.greatest(F.exp(F.col("other") * step) * 0.999999, t * n), F.least(F.exp((F.col("other") + 1) * step) * 1.000001, n / t)
+    # a partner of the least size leaves the most of this sketch outside, one of the largest size the most of its own
+    drawn = F.least(n, F.lit(float(k)))
+    here = drawn - _most_outside(drawn, F.greatest((n - t * low) / ((1 + t) * n), F.lit(0.0)), n)
+    there = k - _most_outside(F.lit(float(k)), F.greatest((high - t * n) / ((1 + t) * high), F.lit(0.0)), high)
+    least = F.greatest(F.ceil(F.when(high > k, F.least(here, there)).otherwise(here) - 1e-6), F.lit(1))
+    banded = shared.select("id", "n", "vs", own.alias("own"), F.explode(F.sequence(own - bands, own + bands)).alias("other")).filter(low <= high)
+    banded = banded.withColumn("m", least).filter(F.size("vs") >= F.col("m"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    entries = banded.select("id", side.alias("side"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.explode(F.slice("vs", F.lit(1), (F.size("vs") - F.col("m") + 1).cast("int"))).alias("x"))
+    return entries.select(F.xxhash64("x.v", "b1", "b2").alias("v"), "id", "side")
+
+
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """The lists with members to compare; of lists with equal members one."""
+    on = [F.count(F.when(F.col("side") == i, 1)).alias(f"c{i}") for i in range(3)]
+    sums = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "id", "side"), 20)).alias(f"s{i}") for i in range(2)]
+    members = lists.groupBy("v").agg(*on, *sums).filter("c2 > 1 or (c0 > 0 and c1 > 0)")
+    distinct = members.groupBy("c0", "c1", "c2", "s0", "s1").agg(F.min("v").alias("v"))
+    return lists.join(distinct.select("v"), "v", "left_semi")
+
+
+def _outside_largest(labelled: DataFrame) -> DataFrame:
+    """(v, largest, work): each list's largest component and the number of pairs of other members with those across."""
+    parts = labelled.groupBy("v", "comp").agg(*[F.count(F.when(F.col("side") == i, 1)).alias(f"c{i}") for i in range(3)])
+    parts = parts.withColumn("c", F.col("c0") + F.col("c1") + F.col("c2"))
+    lists = parts.groupBy("v").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(3)], F.max(F.struct("c", "comp", "c0", "c1", "c2")).alias("p"))
+    work = sum((F.col(f"c{i}") - F.col(f"p.c{i}")) * F.col(f"c{j}") for i, j in ((2, 2), (0, 1), (1, 0)))
+    return lists.select("v", F.col("p.comp").alias("largest"), work.alias("work"))
+
+
 def _close(pairs: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataFrame:
     """The pairs (a, b) whose sketches leave it possible that they are links."""
     a = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -149,7 +208,8 @@ def _close(pairs: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataF
     sized = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return sized.filter(common >= ESTIMATE * F.size(union)).select("a", "b")
+    outside = _most_outside(F.size(union), F.lit(1 - threshold), (F.col("na") + F.col("nb")) / (1 + threshold))
+    return sized.filter(common >= F.size(union) - outside - 1e-6).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -160,13 +220,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
 
 class _Sets:
-    """Full sets of the documents that have come up in a close pair, made as they come up."""
+    """Full sets of the documents that have come up in a close pair or need deep sketches, made as they come up."""
 
     def __init__(self, source: DataFrame, size: int, scratch: Scratch):
         self.source, self.size, self.scratch, self.made = source, size, scratch, None
 
-    def of(self, pairs: DataFrame) -> DataFrame | None:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    def of_pairs(self, pairs: DataFrame) -> DataFrame | None:
+        return self.of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+
+    def of(self, ids: DataFrame) -> DataFrame | None:
         if self.made is not None:
             ids = ids.join(self.made.select("id"), "id", "left_anti")
         ids = self.scratch.write(ids)
@@ -194,36 +256,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
     classes = scratch.write(keyed.groupBy("f1", "f2").agg(F.min("id").alias("rep")))
     reps = scratch.write(keyed.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").select("id", "n", "sketch").distinct())
 
-    # inverted lists of the rarest retained values
-    held = F.size("sketch")
-    whole = F.col("n") <= int(threshold * k)  # both sketches of a pair are then full sets
-    needed = F.when(whole, F.ceil(F.lit(threshold) * held)).otherwise(F.ceil(F.lit(OVERLAP) * held))
-    postings = reps.select("id", needed.alias("m"), F.explode("sketch").alias("v"))
-    counts = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
-    shared = postings.join(counts, "v").groupBy("id").agg(F.max("m").alias("m"), F.collect_list(F.struct("c", "v")).alias("vs"))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.000001 / threshold))
-    shared = shared.join(reps.select("id", band.alias("band")), "id")
-    lists = (
-        shared.filter(F.size("vs") >= F.col("m"))
-        .select("id", "band", F.explode(F.slice(F.sort_array("vs"), F.lit(1), (F.size("vs") - F.col("m") + 1).cast("int"))).alias("x"))
-        .select("id", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("v"))
-    )
-    lists = scratch.write(lists)
-    # lists with equal members count once
-    members = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.sum(F.shiftright(F.xxhash64("id"), 20)).alias("s1"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "id"), 20)).alias("s2"))
-    distinct = members.filter(F.col("c") > 1).groupBy("c", "s1", "s2").agg(F.min("v").alias("v"))
-    active = scratch.write(lists.join(distinct.select("v"), "v", "left_semi"))
+    lists = scratch.write(_lists(reps, threshold, k, BANDS))
+    active = scratch.write(_distinct_lists(lists))
     sets = _Sets(source, size, scratch)
     comp, n_reps = None, reps.count()
     pivots = active.groupBy("v").agg(F.min("id").alias("a"))
-    most = 1
+    most, deep = 1, False
     while True:
-        met = active.join(pivots, "v").filter(F.col("a") != F.col("id") if most else F.col("a") < F.col("id"))
+        met = active.join(pivots, "v").filter(F.col("a") != F.col("id"))
         if comp is not None:  # those of one component need no test
             met = met.filter(F.col("comp") != F.col("top"))
+        if not most:
+            met = met.filter((F.col("side") == 2) | (F.col("side") != F.col("across")))
         pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         close = scratch.write(_close(pairs, reps, threshold, k))
-        full = sets.of(close)
+        full = sets.of_pairs(close)
         links = scratch.write(_confirmed(close, full, threshold) if full is not None else close)
         if comp is not None:  # as links between components
             ends = links.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
@@ -236,24 +283,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
             grown = comp.join(new, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
             comp = scratch.write(grown.unionByName(found.join(comp, "id", "left_anti")))
         # what is left: lists with members in several components, less the pivots that have met all others
-        left = active.select("v", "id").join(pivots.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        left = active.select("v", "id", "side").join(pivots.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_lists = left.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
         labelled = scratch.write(left.join(open_lists.select("v"), "v", "left_semi"))
         if labelled.isEmpty():
             break
-        active = labelled.select("v", "id", "comp")
+        if not deep:  # new lists of what is left; both ends of every untested pair are
+            deep, ids = True, scratch.write(labelled.select("id", "comp").distinct())
+            # values are counted within groups that lists connect, where those that only one member has are no common ones
+            ends = labelled.select("v", F.col("id").alias("a")).join(labelled.groupBy("v").agg(F.min("id").alias("b")), "v")
+            groups = components(ends.select("a", "b"), scratch).select("id", F.col("comp").alias("g"))
+            whole = sets.of(ids.select("id")).join(groups, "id")
+            depth = whole.select("id", F.size("set").cast("long").alias("n"), F.transform(F.slice("set", 1, DEEP), lambda v: F.xxhash64("g", v)).alias("sketch"))
+            lists = scratch.write(_lists(depth, threshold, DEEP, DEEP_BANDS))
+            labelled = _distinct_lists(lists).join(ids, "id")
+            open_lists = labelled.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
+            labelled = scratch.write(labelled.join(open_lists.select("v"), "v", "left_semi").select("v", "id", "side", "comp"))
+            if labelled.isEmpty():
+                break
         if most == 0:
             break
-        per_list = labelled.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        if per_list.agg(F.sum(F.col("c") * F.col("c"))).first()[0] <= FINISH * n_reps:
+        largest = scratch.write(_outside_largest(labelled).filter("work > 0"))
+        active = labelled.select("v", "id", "side", "comp").join(largest.select("v"), "v", "left_semi")
+        rest = labelled.join(largest.select("v", "largest"), "v").filter(F.col("comp") != F.col("largest"))
+        work = largest.agg(F.sum("work")).first()[0]
+        if work is None:
+            break
+        if work <= FINISH * n_reps:
             most = 0
-            pivots = labelled.select("v", F.col("id").alias("a"), F.col("comp").alias("top"))
+            pivots = rest.select("v", F.col("id").alias("a"), F.col("comp").alias("top"), F.col("side").alias("across"))
             continue
-        if most == 1:
-            pivots = labelled.groupBy("v").agg(F.max(F.struct("comp", "id")).alias("p")).select("v", F.col("p.id").alias("a"), F.col("p.comp").alias("top"))
-        else:
-            order = Window.partitionBy("v").orderBy(F.desc("comp"), F.desc("id"))
-            pivots = labelled.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("v", F.col("id").alias("a"), F.col("comp").alias("top"))
+        order = Window.partitionBy("v").orderBy(F.desc("comp"), F.desc("id"))
+        pivots = rest.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("v", F.col("id").alias("a"), F.col("comp").alias("top"))
         pivots = scratch.write(pivots)
         most *= 2
 
