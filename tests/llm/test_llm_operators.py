@@ -318,6 +318,21 @@ def test_near_duplicates_against_all_pairs(spark, docs, size):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+@pytest.mark.parametrize("finish", [0, 20])
+def test_near_duplicates_in_a_group_of_near_misses(spark, monkeypatch, finish):
+    monkeypatch.setattr(minhash_dedup, "FINISH", finish)  # with 0 all is left to rounds of pivots
+    rng, rows = np.random.default_rng(5), []
+    text = [f"w{i}" for i in range(150)]
+    for k in range(90):  # up to 24 words from a small vocabulary: similarities to the original from 0.55 up
+        own = list(text)
+        for j in rng.choice(150, int(rng.integers(0, 25)), replace=False):
+            own[j] = f"x{rng.integers(0, 6)}"
+        rows.append((k, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert got == brute_components(rows, 2)
+    assert len({c for _, c in got.values()}) > 10
+
+
 def test_near_duplicates_odd(odd, empty):
     out = minhash_dedup.near_duplicates(odd).collect()
     assert len(out) == len(ODD)
