@@ -2,10 +2,11 @@
 
 The statistics of every text become a vector of transformed ratios. For each (lang, source) a minimum covariance
 determinant estimate is found by concentration steps: from the group's medians and spreads, the half of the rows
-nearest to the current centre gives the next mean and covariance, and so on. A document whose squared Mahalanobis
-distance from its group's estimate is above a chi-square bound is an outlier. All of it is DataFrame expressions:
-the statistics are array functions within a row, the estimates are partial aggregates per group, and distances
-come from a Cholesky factor spelled out as columns.
+nearest to the current centre gives the next mean and covariance, and so on. So outliers may fill just under half of
+a group, as copies of one text do. Squared Mahalanobis distances from a group's estimate are scaled so that their
+median is that of a chi-square distribution; a document beyond BOUND, far above any usual quantile of it (18.5 is
+the one at 0.999), is an outlier. All of it is DataFrame expressions: the statistics are array functions within a
+row, the estimates are partial aggregates per group, and distances come from a Cholesky factor spelled out as columns.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from .common import SPACES, Scratch, table, words
 DIMS = 4
 #: Rows a group must have for an estimate of its own; smaller groups use their language's, then that of all rows.
 LEAST_ROWS = 200
-#: The share of rows in the concentrated half, and the steps.
-SHARE, STEPS = 0.75, 4
-#: Squared distance beyond which a document is an outlier, in units of the group's median squared distance
-#: (which is 3.357 for 4 normal dimensions).
+#: The share of rows in the concentrated half, and the steps. A larger share breaks down with fewer outliers.
+SHARE, STEPS = 0.5, 4
+#: Squared distance beyond which a document is an outlier, once distances are scaled so that the group's median is
+#: CHI2_MEDIAN, that of 4 normal dimensions: some 18 times the median.
 BOUND = 60.0
 CHI2_MEDIAN = 3.3567
 #: Added to variances, so that a group whose rows agree in a statistic still has a covariance.

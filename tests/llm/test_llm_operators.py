@@ -242,6 +242,13 @@ def test_quality_rules_reject_outliers(spark, docs):
     assert all(r["kept"] == (r["doc_id"] < 1000) for r in out)
 
 
+def test_quality_rules_reject_copies_of_one_outlier(spark):
+    good = [(i, " ".join(f"word{(i * 7 + j * j) % 997}" for j in range(100 + i % 50)) + ".", "en", "s") for i in range(390)]
+    bad = [(1000 + i, " ".join(f"{'#$%' * 30}{j}" for j in range(60)), "en", "s") for i in range(210)]  # 35% of the group
+    out = quality_rules.quality_verdicts(spark.createDataFrame(good + bad, SCHEMA)).collect()
+    assert not any(r["base_failed"] for r in out) and all(r["kept"] == (r["doc_id"] < 1000) for r in out)
+
+
 # 6 quality ranker
 
 
