@@ -28,13 +28,17 @@ SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name spa
 #: Headers of the response that its metadata record repeats.
 KEPT_HEADERS = ("content-type", "content-language", "last-modified", "etag", "server")
 
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<!\[CDATA\[.*?\]\]>|<(?:script|style|noscript|template|svg)\b.*\Z|<!--.*\Z", re.S | re.I)
-_BREAKS = re.compile(r"<(?:/?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|h[1-6]|section|article|header|footer|nav|main|aside|form|blockquote|pre|title|head|body|html|option|figure|figcaption))\b[^>]*>", re.I)
-_CELLS = re.compile(r"</?(?:td|th)\b[^>]*>", re.I)
+_HIDDEN = re.compile(r"<!--|<!\[CDATA\[|<(script|style|noscript|template|svg)(?=[\s/>])", re.I)
+_ENDS = {"<!--": re.compile("-->"), "<![cdata[": re.compile(r"\]\]>")} | {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg")}
+#: What hides all that follows if it is not ended.
+_TO_END = ("<!--", "script", "style")
+_WHOLE_TAG = re.compile(r"<[^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*>")
+_BREAKS = re.compile(r"<(?:/?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|h[1-6]|section|article|header|footer|nav|main|aside|form|blockquote|pre|title|head|body|html|option|figure|figcaption))(?=[\s/>])[^>]*>", re.I)
+_CELLS = re.compile(r"</?(?:td|th)(?=[\s/>])[^>]*>", re.I)
 _TAGS = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=", re.I)
+_TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(.*?)</title\s*>", re.S | re.I)
+_LANG = re.compile(r"<html(?=[\s/>])[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_LINK = re.compile(r"<a(?=[\s/>])[^>]*?\bhref\s*=", re.I)
 
 
 def digest(block: bytes) -> str:
@@ -46,9 +50,30 @@ def urn(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"
 
 
+def _without_hidden(page: str) -> str:
+    """page with a blank for each comment, script, style and other element that shows no text.
+
+    A self-closed svg is one tag. Of other elements without an end tag only script and style hide what follows.
+    """
+    out, kept, at, unended = [], 0, 0, set()
+    while m := _HIDDEN.search(page, at):
+        name = (m[1] or m[0]).lower()
+        at = m.end()
+        tag = _WHOLE_TAG.match(page, m.start()) if name == "svg" else None
+        end = tag if tag and tag[0].endswith("/>") else None
+        if end is None and name not in unended:
+            end = _ENDS[name].search(page, at)
+        if end is None and name not in _TO_END:
+            unended.add(name)
+            continue
+        out += [page[kept : m.start()], " "]
+        kept = at = end.end() if end else len(page)
+    return "".join([*out, page[kept:]])
+
+
 def plain_text(page: str) -> str:
     """The visible text of a page: block elements end lines, scripts and comments go, entities are decoded, runs of blanks close up."""
-    page = _DROPPED.sub(" ", page)
+    page = _without_hidden(page)
     page = _TAGS.sub("", _CELLS.sub(" ", _BREAKS.sub("\n", page)))
     lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)

@@ -216,6 +216,18 @@ def test_warc_plain_text_and_odd(spark):
     assert warc.derivatives(spark.createDataFrame([], "record_id string, target_uri string, date string, block binary")).isEmpty()
 
 
+@pytest.mark.parametrize(
+    "between, shown",
+    [
+        ("<svg-icon></svg-icon>", ""), ('<svg width="1"/>', ""), ("<template-card>in</template-card>", "in\n"), ("<svg/><p>mid</p><svg><text>no</text></svg>", "mid\n"),
+        ('<svg data-x="a>b" /><p>mid</p><svg></svg>', "mid\n"), ("<svg><p>mid</p><noscript>", "mid\n"), ("<SVG>no</svg><template>no</template><noscript >no</noscript >", ""),
+    ],
+)
+def test_warc_plain_text_goes_on_after_tags_without_end(between, shown):
+    assert warc.plain_text(f"<p>one</p>{between}<p>two</p>") == f"one\n{shown}two"
+    assert warc.plain_text(f"<p>one</p>{between}<p><script-x>two</script-x><script>no") == f"one\n{shown}two"
+
+
 # 5 quality rules
 
 
