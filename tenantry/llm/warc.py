@@ -25,8 +25,6 @@ from .common import table
 
 RECORD = "record_id string, warc_type string, target_uri string, date string, refers_to string, content_type string, headers map<string,string>, block_digest string, payload_digest string, block binary"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
-#: Headers of the response that its metadata record repeats.
-KEPT_HEADERS = ("content-type", "content-language", "last-modified", "etag", "server")
 
 _HIDDEN = re.compile(r"<!--|<!\[CDATA\[|<(script|style|noscript|template|svg)(?=[\s/>])", re.I)
 _ENDS = {"<!--": re.compile("-->"), "<![cdata[": re.compile(r"\]\]>")} | {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg")}
@@ -80,13 +78,15 @@ def plain_text(page: str) -> str:
 
 
 def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, headers (names in lower case, of repeated ones the last) and payload of an HTTP response."""
+    """Status line, headers (names in lower case, repeated ones joined by commas) and payload of an HTTP response."""
     head, gap, payload = block.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"HTTP/"):
         return "", {}, block
     first, *rest = head.decode("latin-1").split("\r\n")
-    pairs = (x.split(":", 1) for x in rest if ":" in x)
-    return first, {k.strip().lower(): v.strip() for k, v in pairs}, payload
+    headers: dict[str, list[str]] = {}
+    for k, v in (x.split(":", 1) for x in re.sub(r"\n[ \t]+", " ", "\n".join(rest)).split("\n") if ":" in x):
+        headers.setdefault(k.strip().lower(), []).append(v.strip())
+    return first, {k: ", ".join(v) for k, v in headers.items()}, payload
 
 
 def _one_line(value: str) -> str:
@@ -97,20 +97,20 @@ def derive(record_id: str, target_uri: str | None, date: str | None, block: byte
     """The metadata and the conversion record of one response."""
     status, headers, payload = split_http(block)
     source_digest = digest(payload)
-    charset = re.search(r"charset=[\"']?([\w-]+)", headers.get("content-type", ""), re.I)
+    charsets = re.findall(r"charset=[\"']?([\w-]+)", headers.get("content-type", ""), re.I)
     try:
-        page = payload.decode(charset[1] if charset else "utf-8", "replace")
+        page = payload.decode(charsets[-1] if charsets else "utf-8", "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
     text = plain_text(page).encode("utf-8", "replace")
     conversion_id, metadata_id = urn(f"{record_id}#conversion"), urn(f"{record_id}#metadata")
     title, lang = _TITLE.search(page), _LANG.search(page)
-    fields = [("status", status), *((f"source-{k}", headers[k]) for k in KEPT_HEADERS if k in headers)]
+    source = {f"source-{k}": v for k, v in headers.items()}
+    fields = [("status", status), *source.items()]
     fields += [("title", html.unescape(title[1]) if title else ""), ("language", lang[1] if lang else ""), ("outlinks", str(len(_LINK.findall(page))))]
     fields += [("source-payload-length", str(len(payload))), ("source-payload-digest", source_digest), ("text-length", str(len(text))), ("text-digest", digest(text)), ("conversion", conversion_id)]
     about = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields if v).encode("utf-8", "replace")
     common = {"target_uri": target_uri, "date": date, "refers_to": record_id, "payload_digest": source_digest}
-    source = {f"source-{k}": headers[k] for k in KEPT_HEADERS if k in headers}
     return [
         common | {"record_id": metadata_id, "warc_type": "metadata", "content_type": "application/warc-fields", "headers": source, "block_digest": digest(about), "block": about},
         common | {"record_id": conversion_id, "warc_type": "conversion", "content_type": "text/plain; charset=utf-8", "headers": source, "block_digest": digest(text), "block": text},

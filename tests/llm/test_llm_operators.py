@@ -228,6 +228,14 @@ def test_warc_plain_text_goes_on_after_tags_without_end(between, shown):
     assert warc.plain_text(f"<p>one</p>{between}<p><script-x>two</script-x><script>no") == f"one\n{shown}two"
 
 
+def test_warc_keeps_all_source_headers():
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nLocation: /x\r\nLink: <a>\r\nX-Robots-Tag: noindex,\r\n nofollow\r\nLINK: <b>\r\nDate: d\r\n\r\n"
+    want = {"source-content-type": "text/html; charset=utf-8", "source-location": "/x", "source-link": "<a>, <b>", "source-x-robots-tag": "noindex, nofollow", "source-date": "d"}
+    metadata, conversion = warc.derive("r", None, None, head + b"<p>one</p>")
+    assert metadata["headers"] == conversion["headers"] == want
+    assert want.items() <= dict(x.split(": ", 1) for x in metadata["block"].decode().split("\r\n") if x).items()
+
+
 # 5 quality rules
 
 
