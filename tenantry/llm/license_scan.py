@@ -5,6 +5,7 @@ penalty, trained on notices of each family, on licence-like sentences of no know
 the corpus's own paragraphs, gives the probability of each family, of ``unknown`` and of ``none``; a temperature
 fitted on rows held back calibrates them. A predicted family stands if it is likely enough and if the paragraph
 holds most of the word pairs of one of the family's notices; otherwise the paragraph is an unknown licence.
+A notice may wrap over lines: a line that is not confirmed by itself is judged again with the words around it.
 
 Scoring is DataFrame expressions within a row: no shuffle, no Python. As features are present or absent, the most
 that a paragraph without certain anchor words can score is known; anchors are chosen so that this is below ``none``.
@@ -204,6 +205,10 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
     """docs with ``licences``: array<struct<position, label, confidence, confirmed>>, one for each paragraph that is
     not none, in order. Positions count paragraphs from 0; a column of that name is replaced.
 
+    A paragraph with an anchor that is not confirmed by itself is joined with those before and after it, up to one
+    without words or one that is confirmed, as many words each way as the longest notice has. It gets a family
+    if these together hold one of the family's notices and it holds two word pairs of that notice itself.
+
     Null and empty texts have an empty array. Repeated rows get equal results. Whole texts are read, however long.
     """
     n = len(model.classes)
@@ -214,9 +219,12 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
     zero = F.array(*[F.lit(0.0)] * n)
     templates = _constant({k: [sorted(g for g in grams(tokens(t)) if " " in g) for t in v] for k, v in NOTICES.items()}, "map<string,array<array<string>>>")
     lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    reach = max(len(tokens(t)) for v in NOTICES.values() for t in v)
+
+    def word_array(p: Column) -> Column:
+        return F.filter(F.split(p, GAP), lambda t: t != "")
 
-    def gram_array(p: Column) -> Column:
-        words = F.filter(F.split(p, GAP), lambda t: t != "")
+    def gram_array(words: Column) -> Column:
         return F.array_distinct(F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))))
 
     def scored(s: Column) -> Column:
@@ -228,11 +236,16 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
         e = F.transform(s["z"], lambda v: F.exp((v - F.array_max(s["z"])) / model.temperature))
         return F.struct(s["position"].alias("position"), s["grams"].alias("grams"), F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
-    def judged(s: Column) -> Column:
+    def share_held(template: Column, grams: Column, own: Column | None) -> Column:
+        share = F.size(F.array_intersect(template, grams)) / F.size(template)
+        return share if own is None else F.when(F.size(F.array_intersect(template, own)) >= 2, share).otherwise(0.0)
+
+    def judged(s: Column, own: Column | None = None) -> Column:
+        """struct(position, grams, p) to the verdict; with grams of its own, a template counts if two of its pairs are among them."""
         families_p = F.slice(s["p"], 1, families)
         best = F.array_max(families_p)
         name = F.get(F.array(*[F.lit(c) for c in model.classes[:families]]), F.array_position(families_p, best).cast("int") - 1)
-        held = F.array_max(F.transform(F.try_element_at(templates, name), lambda t: F.size(F.array_intersect(t, s["grams"])) / F.size(t)))
+        held = F.array_max(F.transform(F.try_element_at(templates, name), lambda t: share_held(t, s["grams"], own)))
         none, unknown = F.get(s["p"], n - 1), F.get(s["p"], n - 2)
         known = (best >= model.least) & (best > none) & (best >= unknown) & (held >= contained)
         label = F.when(known, name).when(none >= 0.5, NONE).otherwise(UNKNOWN_CLASS)
@@ -240,12 +253,43 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
 
     paragraphs = F.transform(F.split(lowered, re.escape(separator), -1), lambda p, i: F.struct(i.alias("position"), p.alias("p")))
     open_ = F.filter(paragraphs, lambda s: s["p"].rlike(anchor) if anchor else F.lit(True))
-    steps = F.transform(open_, lambda s: F.struct(s["position"].alias("position"), gram_array(s["p"]).alias("grams")))
-    steps = F.transform(F.transform(F.transform(steps, scored), softened), judged)
-    found = F.filter(steps, lambda s: s["label"] != NONE)
+    steps = F.transform(open_, lambda s: F.struct(s["position"].alias("position"), gram_array(word_array(s["p"])).alias("grams")))
+    steps = F.transform(F.transform(F.transform(steps, scored), softened), lambda s: judged(s))
     empty = F.array().cast("array<struct<position:int,label:string,confidence:double,confirmed:boolean>>")
     gate = lowered.rlike(anchor) if anchor else F.lit(True)
-    return docs.withColumn("licences", F.when(gate, found).otherwise(empty))
+
+    def around(lines: Column, before: bool) -> Column:
+        """The words of lines up to the first that ends a notice, at most ``reach``; read backwards for those before."""
+        start = F.struct(F.array().cast("array<string>").alias("words"), F.lit(True).alias("open"))
+
+        def step(acc: Column, line: Column) -> Column:
+            words = word_array(line["p"])
+            joined = F.concat(words, acc["words"]) if before else F.concat(acc["words"], words)
+            more = acc["open"] & (F.size(acc["words"]) < reach) & line["p"].rlike("[a-z0-9]") & ~F.array_contains("__sure", line["position"])
+            return F.when(more, F.struct(joined.alias("words"), F.lit(True).alias("open"))).otherwise(F.struct(acc["words"].alias("words"), F.lit(False).alias("open")))
+
+        words = F.aggregate(F.reverse(lines) if before else lines, start, step)["words"]
+        return F.slice(words, F.greatest(F.size(words) - (reach - 1), F.lit(1)) if before else F.lit(1), F.lit(reach))
+
+    def widened(s: Column) -> Column:
+        """A verdict to struct(position: the verdict and the grams of its line, grams: those of the line and around it)."""
+        at, line = s["position"], word_array(F.get("__lines", s["position"])["p"])
+        before = around(F.slice("__lines", F.greatest(at - (reach - 1), F.lit(1)), F.least(at, F.lit(reach))), True)
+        after = around(F.slice("__lines", at + 2, F.lit(reach)), False)
+        return F.struct(F.struct(s.alias("verdict"), gram_array(line).alias("own")).alias("position"), gram_array(F.concat(before, line, after)).alias("grams"))
+
+    def rejudged(s: Column) -> Column:
+        wide, alone = judged(s, s["position"]["own"]), s["position"]["verdict"]
+        renewed = F.struct(alone["position"].alias("position"), wide["label"].alias("label"), wide["confidence"].alias("confidence"), wide["confirmed"].alias("confirmed"))
+        return F.when(wide["confirmed"], renewed).otherwise(alone)
+
+    out = docs.withColumn("__found", F.when(gate, steps))
+    doubtful = F.filter("__found", lambda s: ~s["confirmed"])
+    out = out.withColumn("__lines", F.when(F.size(doubtful) > 0, paragraphs)).withColumn("__sure", F.transform(F.filter("__found", lambda s: s["confirmed"]), lambda s: s["position"]))
+    again = F.transform(F.transform(F.transform(F.transform(doubtful, widened), scored), softened), rejudged)
+    every = F.when(F.size(doubtful) > 0, F.array_sort(F.concat(F.filter("__found", lambda s: s["confirmed"]), again))).otherwise(F.col("__found"))
+    found = F.filter(every, lambda s: s["label"] != NONE)
+    return out.withColumn("licences", F.coalesce(found, empty)).drop("__found", "__lines", "__sure")
 
 
 def fit_on(docs: DataFrame, max_docs: int = 300, max_paragraphs: int = 1500, max_chars: int = 20_000, text_col: str = "text") -> LicenceModel:

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -68,6 +69,17 @@ def test_licences_find_every_notice(spark, licence_model):
     assert license_scan.scan_licences(plain, licence_model).filter(F.exists("licences", lambda x: x["confirmed"])).isEmpty()
 
 
+def test_licences_find_wrapped_notices(spark, licence_model):
+    rows = [(name, "Some text before.\n" + textwrap.fill(license_scan.NOTICES[name][1], width) + "\nSome text after.") for name in ("MIT", "GPL-3.0", "LGPL", "BSD", "ISC") for width in (40, 60, 77)]
+    rows += [(name, "/*\n * " + t.replace("\n", "\n * ") + "\n */") for name, t in rows]
+    df = spark.createDataFrame(rows, "name string, text string")
+    for r in license_scan.scan_licences(df, licence_model).collect():
+        assert {x["label"] for x in r["licences"] if x["confirmed"]} == {r["name"]}, r
+    apart = "Licensed under the Apache License, Version 2.0.\nLicensed under the Example Community License, version 1.1."
+    found = license_scan.scan_licences(spark.createDataFrame([(apart,)], "text string"), licence_model).first()["licences"]
+    assert [(x["position"], x["label"]) for x in found] == [(0, "Apache-2.0"), (1, "unknown")]
+
+
 def test_licences_anchor_gate_changes_nothing(spark, docs, licence_model):
     from dataclasses import replace
 
