@@ -20,7 +20,8 @@ from .common import SPACES, Scratch, table, words
 
 DIMS = 4
 #: Rows a group must have for an estimate of its own; smaller groups use their language's, then that of all rows.
-LEAST_ROWS = 200
+#: Ten for each dimension, so that the half that is concentrated on still has five for each.
+LEAST_ROWS = 40
 #: The share of rows in the concentrated half, and the steps. A larger share breaks down with fewer outliers.
 SHARE, STEPS = 0.5, 4
 #: Squared distance beyond which a document is an outlier, once distances are scaled so that the group's median is

@@ -281,6 +281,12 @@ def test_quality_rules_reject_copies_of_one_outlier(spark):
     assert not any(r["base_failed"] for r in out) and all(r["kept"] == (r["doc_id"] < 1000) for r in out)
 
 
+def test_quality_rules_small_groups_have_estimates_of_their_own(spark):
+    text = lambda i, mark: " ".join(f"word{(i * 7 + j * j) % 997}{mark}" for j in range(100 + i % 50))
+    rows = [(i, text(i, ""), "en", "a") for i in range(100)] + [(100 + i, text(i, "#$%" * 9), "en", "b") for i in range(60)]
+    assert all(r["kept"] for r in quality_rules.quality_verdicts(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
 # 6 quality ranker
 
 
