@@ -5,19 +5,24 @@ Jaccard similarity t, each of the k smallest values of the union lies in both wi
 share far more than a bound m of 0.5 k values when t >= 0.8 (at t = 0.8 and k = 48 fewer than 24 shared values have
 a probability of about 1e-6). The steps:
 
-1. Documents with equal sets form a class; its smallest id stands for it from here on.
+1. Documents with equal sets form a class, which has a key of its own from here on. Classes with an id in common
+   are linked from the start.
 2. Inverted lists of retained values: values are counted, and a document enters only the lists of its rarest
    values, as many as leave fewer than m others. Two documents that share m values meet in such a list, and values
    that very many documents retain bring nobody together. Lists are split by pairs of bands of set size, as m is
    larger the closer two sizes are.
-3. Each list tests its members against one pivot. Lists whose members are then in one component are done.
-4. The documents of the other lists, those of large groups with members that are almost but not quite similar, get
-   deep sketches, most of them whole sets, and lists of their own, in which values are counted within the groups
-   that lists connect. With these m leaves few documents without a link in a list. Where the pairs between different
-   components are few for each document, all of them are tested; else the lists are tested against further pivots
-   outside their largest components, twice as many each round, until that is so. So a group of thousands of near
-   copies costs a few tests per member, not all pairs, and no pair between different components goes untested.
-5. A test estimates the similarity from the k smallest values of the two sketches' union, and pairs that could
+3. Each list compares its members with one pivot, the member whose values are the most common. Lists whose members
+   are then in one component are done.
+4. Where the pairs between different components are few for each document, all of them are compared. Else there are
+   large groups with members that are almost but not quite similar. The documents of the lists that are left then
+   get deep sketches, most of them whole sets, and lists of their own, in which values are counted within the groups
+   that lists connect; with these m leaves few documents without a link in a list. Lists with too many pairs still are
+   compared with further pivots outside their largest components, twice as many each round, until the rest are few.
+   So a group of thousands of near copies costs a few tests per member, not all pairs, and no pair between different
+   components is left out.
+5. List entries carry the parity of the number of values in each of BITS buckets. Two sets differ in at least as
+   many values as their parities differ in bits, so pairs that differ too much are never made, and none is lost.
+6. A test estimates the similarity from the k smallest values of the two sketches' union, and pairs that could
    reach the threshold are confirmed by the intersection of their full sets.
 
 The bound m: of two sets A and B with i common values let A's sketch end first. Then the sketches share k less the
@@ -27,6 +32,7 @@ and two more, which is exceeded with a probability of about 1e-6, and none where
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -47,11 +53,15 @@ DEEP = 1024
 Z = 5.0
 #: Bands of set size within the largest ratio of two similar sets' sizes, at first and for deep sketches.
 BANDS, DEEP_BANDS = 2, 8
+#: Buckets of values whose parities list entries carry; at most one difference in four values is hidden up to BITS / 4.
+BITS = 512
 SEGMENT = 1 << 20
-#: Pairs to test for each document, below which what is left is tested in one round.
-FINISH = 20
-#: Ids that are broadcast at most: 32 MB.
-MOST_IDS = 4_000_000
+#: Pairs to compare for each document, below which what is left is compared in one round.
+FINISH = 100
+#: Pairs of one list that are compared in one part of it.
+PART = 4_000_000
+#: Rows (id, hash of the text, key) that are broadcast at most: 24 MB.
+MOST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240607)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -130,6 +140,11 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
             yield shingles_of(words, size)
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """The parity of the number of values in each of BITS buckets, as longs; values' low bits do not depend on their order."""
+    return np.packbits((np.bincount(values & (BITS - 1), minlength=BITS) & 1).astype(bool)).view(np.int64)
+
+
 def _sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,10 +152,10 @@ def _sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
             rows = []
             for found in shingle_sets(texts, size):
                 print_ = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
-                rows.append((len(found), print_[0], print_[1], found[:k]))
-            yield pd.concat([batch[["id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "f1", "f2", "sketch"])], axis=1)
+                rows.append((len(found), print_[0], print_[1], found[:k], parities(found)))
+            yield pd.concat([batch[["id", "h"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "f1", "f2", "sketch", "odd"])], axis=1)
 
-    return docs.mapInPandas(run, "id long, n long, f1 long, f2 long, sketch array<long>")
+    return docs.mapInPandas(run, "id long, h long, n long, f1 long, f2 long, sketch array<long>, odd array<long>")
 
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -148,9 +163,9 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             for start in range(0, len(texts), 64):  # full sets of few texts at a time
-                yield pd.DataFrame({"id": batch["id"].iloc[start : start + 64].to_numpy(), "set": list(shingle_sets(texts[start : start + 64], size))})
+                yield pd.DataFrame({"key": batch["key"].iloc[start : start + 64].to_numpy(), "set": list(shingle_sets(texts[start : start + 64], size))})
 
-    return docs.mapInPandas(run, "id long, set array<long>")
+    return docs.mapInPandas(run, "key long, set array<long>")
 
 
 def _most_outside(drawn: Column, share: Column, n: Column) -> Column:
@@ -160,14 +175,15 @@ def _most_outside(drawn: Column, share: Column, n: Column) -> Column:
 
 
 def _lists(reps: DataFrame, threshold: float, k: int, bands: int) -> DataFrame:
-    """(v, id, side): the inverted lists in which any two similar documents of ``reps`` (id, n, sketch) meet.
+    """(v, key, tag): the inverted lists in which any two similar documents of ``reps`` (key, n, sketch) meet.
 
-    In a list for two bands they are on sides 0 and 1, in one for a single band all are on side 2.
+    A tag is 4 times how common the document's values are (by logarithms, so that no single one decides), plus its side: in a list for two bands members are on
+    sides 0 and 1, in one for a single band all are on side 2.
     """
     t, step = threshold, math.log(1.000001 / threshold) / bands
-    postings = reps.select("id", "n", F.explode("sketch").alias("v"))
+    postings = reps.select("key", "n", F.explode("sketch").alias("v"))
     counts = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
-    shared = postings.join(counts, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
+    shared = postings.join(counts, "v").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"), F.floor(F.sum(F.log2("c")) * 16).alias("common"))
     n = F.col("n").cast("double")
     own = F.floor(F.log(n) / step)
     low, high = F.greatest(F.exp(F.col("other") * step) * 0.999999, t * n), F.least(F.exp((F.col("other") + 1) * step) * 1.000001, n / t)
@@ -176,36 +192,53 @@ def _lists(reps: DataFrame, threshold: float, k: int, bands: int) -> DataFrame:
     here = drawn - _most_outside(drawn, F.greatest((n - t * low) / ((1 + t) * n), F.lit(0.0)), n)
     there = k - _most_outside(F.lit(float(k)), F.greatest((high - t * n) / ((1 + t) * high), F.lit(0.0)), high)
     least = F.greatest(F.ceil(F.when(high > k, F.least(here, there)).otherwise(here) - 1e-6), F.lit(1))
-    banded = shared.select("id", "n", "vs", own.alias("own"), F.explode(F.sequence(own - bands, own + bands)).alias("other")).filter(low <= high)
+    banded = shared.select("key", "n", "vs", "common", own.alias("own"), F.explode(F.sequence(own - bands, own + bands)).alias("other")).filter(low <= high)
     banded = banded.withColumn("m", least).filter(F.size("vs") >= F.col("m"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    entries = banded.select("id", side.alias("side"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.explode(F.slice("vs", F.lit(1), (F.size("vs") - F.col("m") + 1).cast("int"))).alias("x"))
-    return entries.select(F.xxhash64("x.v", "b1", "b2").alias("v"), "id", "side")
+    entries = banded.select("key", (F.col("common") * 4 + side).alias("tag"), F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), F.explode(F.slice("vs", F.lit(1), (F.size("vs") - F.col("m") + 1).cast("int"))).alias("x"))
+    return entries.select(F.xxhash64("x.v", "b1", "b2").alias("v"), "key", "tag")
 
 
 def _distinct_lists(lists: DataFrame) -> DataFrame:
     """The lists with members to compare; of lists with equal members one."""
-    on = [F.count(F.when(F.col("side") == i, 1)).alias(f"c{i}") for i in range(3)]
-    sums = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "id", "side"), 20)).alias(f"s{i}") for i in range(2)]
+    side = F.col("tag") % 4
+    on = [F.count(F.when(side == i, 1)).alias(f"c{i}") for i in range(3)]
+    sums = [F.sum(F.shiftright(F.xxhash64(F.lit(i), "key", side), 20)).alias(f"s{i}") for i in range(2)]
     members = lists.groupBy("v").agg(*on, *sums).filter("c2 > 1 or (c0 > 0 and c1 > 0)")
     distinct = members.groupBy("c0", "c1", "c2", "s0", "s1").agg(F.min("v").alias("v"))
     return lists.join(distinct.select("v"), "v", "left_semi")
 
 
-def _outside_largest(labelled: DataFrame) -> DataFrame:
-    """(v, largest, work): each list's largest component and the number of pairs of other members with those across."""
+def _outside_largest(labelled: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(v, largest, parts) of the lists with pairs to test: the largest component and the parts that the members are dealt
+    into; and the number of pairs of members outside the largest components with those across."""
     parts = labelled.groupBy("v", "comp").agg(*[F.count(F.when(F.col("side") == i, 1)).alias(f"c{i}") for i in range(3)])
     parts = parts.withColumn("c", F.col("c0") + F.col("c1") + F.col("c2"))
     lists = parts.groupBy("v").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(3)], F.max(F.struct("c", "comp", "c0", "c1", "c2")).alias("p"))
     work = sum((F.col(f"c{i}") - F.col(f"p.c{i}")) * F.col(f"c{j}") for i, j in ((2, 2), (0, 1), (1, 0)))
-    return lists.select("v", F.col("p.comp").alias("largest"), work.alias("work"))
+    out = scratch.write(lists.select("v", F.col("p.comp").alias("largest"), work.alias("work"), F.ceil(work / PART).alias("parts")).filter("work > 0"))
+    return out, out.agg(F.sum("work")).first()[0] or 0
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """The lists (v, comp, ...) that have members in several components."""
+    several = labelled.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
+    return labelled.join(several.select("v"), "v", "left_semi")
+
+
+def _entries(lists: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, Column]:
+    """lists (v, key, side, common) with the size and parities of their members, and the condition on x. and y. entries that they may be links."""
+    out = lists.select("v", "key", (F.col("tag") % 4).alias("side"), F.floor(F.col("tag") / 4).alias("common")).join(reps.select("key", "n", "odd"), "key")
+    apart = functools.reduce(lambda a, b: a + b, [F.bit_count(F.get("x.odd", i).bitwiseXOR(F.get("y.odd", i))) for i in range(BITS // 64)])
+    sizes = F.col("x.n") + F.col("y.n")
+    return out, (apart <= sizes * ((1 - threshold) / (1 + threshold)) + 1e-6) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
 
 
 def _close(pairs: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataFrame:
     """The pairs (a, b) whose sketches leave it possible that they are links."""
-    a = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    sized = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    a = reps.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = reps.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    sized = pairs.join(a, "a").join(b, "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     outside = _most_outside(F.size(union), F.lit(1 - threshold), (F.col("na") + F.col("nb")) / (1 + threshold))
@@ -214,113 +247,134 @@ def _close(pairs: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataF
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that are links by their full sets."""
-    exact = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
+    def side(name: str) -> DataFrame:
+        """The sets of one end only, so that no others are shuffled."""
+        return sets.select(F.col("key").alias(name), F.col("set").alias(f"x{name}")).join(pairs.select(name).distinct(), name, "left_semi")
+
+    exact = pairs.join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("xa", "xb"))
     return exact.filter(100 * inter >= F.lit(round(threshold * 100)) * (F.size("xa") + F.size("xb") - inter)).select("a", "b")
 
 
 class _Sets:
-    """Full sets of the documents that have come up in a close pair or need deep sketches, made as they come up."""
+    """Full sets of the classes that have come up in a close pair or need deep sketches, made as they come up."""
 
-    def __init__(self, source: DataFrame, size: int, scratch: Scratch):
-        self.source, self.size, self.scratch, self.made = source, size, scratch, None
+    def __init__(self, source: DataFrame, reps: DataFrame, size: int, scratch: Scratch, repeated: bool):
+        self.source, self.reps, self.size, self.scratch, self.repeated, self.made = source, reps, size, scratch, repeated, None
 
     def of_pairs(self, pairs: DataFrame) -> DataFrame | None:
-        return self.of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        return self.of(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
 
-    def of(self, ids: DataFrame) -> DataFrame | None:
+    def of(self, keys: DataFrame) -> DataFrame | None:
         if self.made is not None:
-            ids = ids.join(self.made.select("id"), "id", "left_anti")
-        ids = self.scratch.write(ids)
-        if n := ids.count():
-            # up to MOST_IDS ids of 8 bytes go to every executor; more are joined by a shuffle of the texts
-            wanted = self.source.join(F.broadcast(ids) if n <= MOST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
-            new = self.scratch.write(_full_sets(wanted, self.size))
+            keys = keys.join(self.made.select("key"), "key", "left_anti")
+        rows = self.scratch.write(keys.join(self.reps.select("key", "id", "h"), "key"))
+        if n := rows.count():
+            # up to MOST_IDS rows of 24 bytes go to every executor; more are joined by a shuffle of the texts
+            wanted = self.source.join(F.broadcast(rows) if n <= MOST_IDS else rows, ["id", "h"])
+            if self.repeated:
+                wanted = wanted.dropDuplicates(["key"])
+            new = self.scratch.write(_full_sets(wanted.select("key", "text"), self.size))
             self.made = new if self.made is None else self.made.unionByName(new)
+        self.scratch.drop(rows)
         return self.made
 
 
+def _same_ids(keyed: DataFrame, repeated: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id but not their set; repeated: (id, lo, hi), the least and greatest prints."""
+    classes = classes.select("f1", "f2", "key")
+    several = repeated.filter("lo <> hi").select("id", F.col("lo.f1").alias("f1"), F.col("lo.f2").alias("f2"))
+    first = several.join(classes, ["f1", "f2"]).select("id", F.col("key").alias("b"))
+    return keyed.select("id", "f1", "f2").distinct().join(first, "id").join(classes, ["f1", "f2"]).select(F.col("key").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of docs.
+    """(id, n_shingles, component_id, kept) for each row of docs; other columns are not looked at.
 
     Links join documents whose sets of ``size``-word shingles have a Jaccard similarity of at least ``threshold``;
     component_id is the smallest id that links reach, and kept is true on the row with that id. Words are runs
     without white space, A-Z lower-cased. Null and empty texts have the empty set and no links. Rows that share an
-    id are one document; a row with a null id is compared with nothing, has a null component_id and is kept.
+    id are one document, which has the links of all its texts; each row has the size of its own text's set. A row
+    with a null id is compared with nothing, has a null component_id and is kept. Whole texts are read, however long.
     """
     scratch = Scratch(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     sketches = scratch.write(_sketches(source, size, k))
 
     keyed = sketches.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = scratch.write(keyed.groupBy("f1", "f2").agg(F.min("id").alias("rep")))
-    reps = scratch.write(keyed.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["f1", "f2", "id"], "left_semi").select("id", "n", "sketch").distinct())
+    first = [F.first(c).alias(c) for c in ("n", "sketch", "odd")]  # equal for all rows of a class
+    classes = keyed.groupBy("f1", "f2").agg(F.min(F.struct("id", "h")).alias("rep"), *first)
+    reps = scratch.write(classes.select("f1", "f2", "rep.id", "rep.h", "n", "sketch", "odd", F.monotonically_increasing_id().alias("key")))
+    prints = F.struct("f1", "f2")
+    repeated = scratch.write(keyed.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min(prints).alias("lo"), F.max(prints).alias("hi")).filter("rows > 1"))
+    some_repeated = not repeated.isEmpty()
 
     lists = scratch.write(_lists(reps, threshold, k, BANDS))
-    active = scratch.write(_distinct_lists(lists))
-    sets = _Sets(source, size, scratch)
+    entries, may_link = _entries(_distinct_lists(lists), reps, threshold)
+    active = scratch.write(entries.withColumn("part", F.lit(0).cast("long")))
+    scratch.drop(lists)
+    sets = _Sets(source, reps, size, scratch, some_repeated)
     comp, n_reps = None, reps.count()
-    pivots = active.groupBy("v").agg(F.min("id").alias("a"))
+    pivots = active.groupBy("v").agg(F.max(F.struct("common", "key", "n", "odd")).alias("p")).select("v", "p.*", F.lit(1).cast("long").alias("parts"))
     most, deep = 1, False
     while True:
-        met = active.join(pivots, "v").filter(F.col("a") != F.col("id"))
+        # the members of a long list are dealt into parts, and its pivots meet each part
+        dealt = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        met = active.alias("x").join(dealt.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.key") != F.col("y.key")) & may_link)
         if comp is not None:  # those of one component need no test
-            met = met.filter(F.col("comp") != F.col("top"))
+            met = met.filter(F.col("x.comp") != F.col("y.comp"))
         if not most:
-            met = met.filter((F.col("side") == 2) | (F.col("side") != F.col("across")))
-        pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+            met = met.filter((F.col("x.side") == 2) | (F.col("x.side") != F.col("y.side")))
+        pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         close = scratch.write(_close(pairs, reps, threshold, k))
         full = sets.of_pairs(close)
         links = scratch.write(_confirmed(close, full, threshold) if full is not None else close)
-        if comp is not None:  # as links between components
-            ends = links.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-            links = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        found = components(links, scratch)
         if comp is None:
-            comp = scratch.write(found)
-        else:
+            found = components(links.unionByName(_same_ids(keyed, repeated, reps)) if some_repeated else links, scratch)
+            comp = scratch.write(found.withColumnRenamed("id", "key"))
+        else:  # as links between components
+            ends = links.join(comp.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b", "left")
+            found = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
             new = found.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-            grown = comp.join(new, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
-            comp = scratch.write(grown.unionByName(found.join(comp, "id", "left_anti")))
+            grown = comp.join(new, "comp", "left").select("key", F.coalesce("top", "comp").alias("comp"))
+            comp = scratch.write(grown.unionByName(found.withColumnRenamed("id", "key").join(comp, "key", "left_anti")))
+        scratch.drop(close, links)
         # what is left: lists with members in several components, less the pivots that have met all others
-        left = active.select("v", "id", "side").join(pivots.select("v", F.col("a").alias("id")), ["v", "id"], "left_anti").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_lists = left.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
-        labelled = scratch.write(left.join(open_lists.select("v"), "v", "left_semi"))
-        if labelled.isEmpty():
+        left = active.drop("comp", "part").join(pivots.select("v", "key"), ["v", "key"], "left_anti").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        labelled = scratch.write(_open(left))
+        scratch.drop(active)
+        if not most or labelled.isEmpty():
             break
-        if not deep:  # new lists of what is left; both ends of every untested pair are
-            deep, ids = True, scratch.write(labelled.select("id", "comp").distinct())
-            # values are counted within groups that lists connect, where those that only one member has are no common ones
-            ends = labelled.select("v", F.col("id").alias("a")).join(labelled.groupBy("v").agg(F.min("id").alias("b")), "v")
-            groups = components(ends.select("a", "b"), scratch).select("id", F.col("comp").alias("g"))
-            whole = sets.of(ids.select("id")).join(groups, "id")
-            depth = whole.select("id", F.size("set").cast("long").alias("n"), F.transform(F.slice("set", 1, DEEP), lambda v: F.xxhash64("g", v)).alias("sketch"))
+        largest, work = _outside_largest(labelled, scratch)
+        if work > FINISH * n_reps and not deep:  # new lists of what is left; both ends of every untested pair are
+            deep, keys = True, scratch.write(labelled.select("key", "comp").distinct())
+            # values are counted within groups of components that lists connect, where those that only one member has are no common ones
+            ends = labelled.select("v", F.col("comp").alias("a")).join(labelled.groupBy("v").agg(F.min("comp").alias("b")), "v")
+            groups = keys.join(components(ends.select("a", "b"), scratch).select(F.col("id").alias("comp"), F.col("comp").alias("g")), "comp")
+            whole = sets.of(keys.select("key")).join(groups, "key")
+            depth = whole.select("key", F.size("set").cast("long").alias("n"), F.transform(F.slice("set", 1, DEEP), lambda v: F.xxhash64("g", v)).alias("sketch"))
             lists = scratch.write(_lists(depth, threshold, DEEP, DEEP_BANDS))
-            labelled = _distinct_lists(lists).join(ids, "id")
-            open_lists = labelled.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
-            labelled = scratch.write(labelled.join(open_lists.select("v"), "v", "left_semi").select("v", "id", "side", "comp"))
-            if labelled.isEmpty():
-                break
-        if most == 0:
-            break
-        largest = scratch.write(_outside_largest(labelled).filter("work > 0"))
-        active = labelled.select("v", "id", "side", "comp").join(largest.select("v"), "v", "left_semi")
-        rest = labelled.join(largest.select("v", "largest"), "v").filter(F.col("comp") != F.col("largest"))
-        work = largest.agg(F.sum("work")).first()[0]
-        if work is None:
+            scratch.drop(labelled, largest)
+            labelled = scratch.write(_open(_entries(_distinct_lists(lists), reps, threshold)[0].join(keys, "key")))
+            scratch.drop(lists)
+            largest, work = _outside_largest(labelled, scratch)
+        if not work:
             break
+        rest = labelled.join(largest.select("v", "largest", "parts"), "v").filter(F.col("comp") != F.col("largest")).drop("largest")
+        active = scratch.write(labelled.join(largest.select("v", "parts"), "v").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts"))
         if work <= FINISH * n_reps:
             most = 0
-            pivots = rest.select("v", F.col("id").alias("a"), F.col("comp").alias("top"), F.col("side").alias("across"))
-            continue
-        order = Window.partitionBy("v").orderBy(F.desc("comp"), F.desc("id"))
-        pivots = rest.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("v", F.col("id").alias("a"), F.col("comp").alias("top"))
-        pivots = scratch.write(pivots)
-        most *= 2
-
-    joined = sketches.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    joined = joined.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    own = F.coalesce("comp", "rep", "id")
+        else:
+            order = Window.partitionBy("v").orderBy(F.desc("common"), F.desc("key"))
+            rest = rest.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).drop("r")
+            most *= 2
+        pivots = scratch.write(rest)
+        scratch.drop(labelled, largest)
+
+    tops = comp.join(reps.select("key", "id"), "key").groupBy("comp").agg(F.min("id").alias("top"))
+    rows = sketches.select("id", "n", "f1", "f2").join(reps.select("f1", "f2", "key", F.col("id").alias("rep")), ["f1", "f2"], "left")
+    joined = rows.join(comp.join(tops, "comp").select("key", "top"), "key", "left")
+    own = F.coalesce("top", "rep", "id")
     return joined.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -378,6 +378,25 @@ def test_near_duplicates_in_a_group_of_near_misses(spark, monkeypatch, finish):
     assert len({c for _, c in got.values()}) > 10
 
 
+def test_near_duplicates_of_repeated_ids_with_other_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (3, b + " y"), (4, c), (9, c), (9, c), (None, a)]
+    for order in (rows, rows[::-1]):
+        got = minhash_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [
+            (0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (9, 4, False), (9, 4, False),
+        ]
+
+
+def test_parities_hide_no_pair():
+    rng = np.random.default_rng(7)
+    for n in (1, 20, 200, 3000):
+        x, y = (np.unique(rng.integers(-(1 << 62), 1 << 62, n)) for _ in range(2))
+        y = np.unique(np.concatenate([y[: n // 3], x[: n // 2]]))
+        apart = sum(int(v).bit_count() for v in (minhash_dedup.parities(x) ^ minhash_dedup.parities(y)).view(np.uint64))
+        assert apart <= len(np.setxor1d(x, y))
+
+
 def test_near_duplicates_odd(odd, empty):
     out = minhash_dedup.near_duplicates(odd).collect()
     assert len(out) == len(ODD)
