@@ -1,35 +1,52 @@
 """Quality rules: base statistics of a text and robust multivariate outliers per language and source.
 
-The statistics of every text become a vector of transformed ratios. For each (lang, source) a minimum covariance
-determinant estimate is found by concentration steps: from the group's medians and spreads, the half of the rows
-nearest to the current centre gives the next mean and covariance, and so on. So outliers may fill just under half of
-a group, as copies of one text do. Squared Mahalanobis distances from a group's estimate are scaled so that their
-median is that of a chi-square distribution; a document beyond BOUND, far above any usual quantile of it (18.5 is
-the one at 0.999), is an outlier. All of it is DataFrame expressions: the statistics are array functions within a
-row, the estimates are partial aggregates per group, and distances come from a Cholesky factor spelled out as columns.
+The statistics of every text become a vector of transformed ratios. For each (lang, source), each language and all
+rows a minimum covariance determinant estimate is sought over the distinct vectors, so that copies of a text count
+once: from several starts, concentration steps take the half of the vectors nearest to the current centre and give
+the next mean and covariance, until no determinant falls any more; of all starts and steps the least determinant
+wins. Covariances have RIDGE added, as statistics may be constant, so it is the regularised determinant that is
+least. An estimate is scaled so that the median of its squared distances is that of a chi-square distribution. A
+(lang, source) of n vectors has the weight n / (n + PRIOR) against its language, and that likewise against all rows:
+no group is too small for an estimate and none switches. A document is an outlier if its squared Mahalanobis
+distance is beyond the chi-square quantile at 1 - TAIL.
+
+All of it is DataFrame expressions: the statistics are array functions within a row, the estimates are partial
+aggregates per group, and distances come from a Cholesky factor spelled out as columns.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, table, words
+from .common import SPACES, Scratch, table, uniform, words
 
 DIMS = 4
-#: Rows a group must have for an estimate of its own; smaller groups use their language's, then that of all rows.
-#: Ten for each dimension, so that the half that is concentrated on still has five for each.
-LEAST_ROWS = 40
-#: The share of rows in the concentrated half, and the steps. A larger share breaks down with fewer outliers.
-SHARE, STEPS = 0.5, 4
-#: Squared distance beyond which a document is an outlier, once distances are scaled so that the group's median is
-#: CHI2_MEDIAN, that of 4 normal dimensions: some 18 times the median.
-BOUND = 60.0
-CHI2_MEDIAN = 3.3567
+#: The share of vectors in the concentrated half, the starts, about how many vectors a random start has, and the most steps.
+SHARE, STARTS, SEEDS, STEPS = 0.5, 4, 12, 12
+#: A determinant that falls by less than this share has stopped.
+SETTLED = 1e-2
+#: Vectors at which a group weighs as much as the wider one.
+PRIOR = 40.0
+#: The share of normal vectors beyond the bound. Statistics of texts have far heavier tails than normal vectors, so it is tiny.
+TAIL = 3e-12
+CHI2_MEDIAN = 3.3567  # of 4 degrees of freedom
 #: Added to variances, so that a group whose rows agree in a statistic still has a covariance.
 RIDGE = 0.02
+#: Groups whose estimates are broadcast at most (some 400 bytes each for every start), and salts of the join beyond.
+MOST_GROUPS, SALTS = 10_000, 16
+
+
+def chi2_bound(tail: float) -> float:
+    """The value that a chi-square variable of 4 degrees of freedom exceeds with probability ``tail``."""
+    low, high = 0.0, 1500.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.exp(-mid / 2) * (1 + mid / 2) > tail else (low, mid)
+    return high
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
@@ -86,80 +103,117 @@ def statistic_vector() -> list[Column]:
     ]
 
 
-def _distance(x: list[Column], mean: list[Column], cov: dict[tuple[int, int], Column], start: DataFrame) -> tuple[DataFrame, Column]:
-    """start with the Cholesky factor of cov as columns, and the squared Mahalanobis distance of x."""
-    d = len(x)
-    for j in range(d):
-        for i in range(j, d):
-            value = cov[i, j] - functools.reduce(lambda a, k: a + F.col(f"__l{i}{k}") * F.col(f"__l{j}{k}"), range(j), F.lit(0.0))
-            value = F.sqrt(F.greatest(value, F.lit(RIDGE / 100))) if i == j else value / F.col(f"__l{j}{j}")
-            start = start.withColumn(f"__l{i}{j}", value)
-    for i in range(d):
-        value = x[i] - mean[i] - functools.reduce(lambda a, k: a + F.col(f"__l{i}{k}") * F.col(f"__y{k}"), range(i), F.lit(0.0))
-        start = start.withColumn(f"__y{i}", value / F.col(f"__l{i}{i}"))
-    return start, functools.reduce(lambda a, i: a + F.col(f"__y{i}") * F.col(f"__y{i}"), range(d), F.lit(0.0))
+X = [f"x{i}" for i in range(DIMS)]
+MEANS = [f"m{i}" for i in range(DIMS)]
+PAIRS = [(i, j) for j in range(DIMS) for i in range(j, DIMS)]
+COVS = [f"c{i}{j}" for i, j in PAIRS]
+FACTORS = [f"l{i}{j}" for i, j in PAIRS]
+
+
+def _factored(estimates: DataFrame) -> DataFrame:
+    """Estimates with the Cholesky factor of their covariance in l.. and the determinant, in ``det``."""
+    for i, j in PAIRS:  # column by column
+        value = functools.reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
+        estimates = estimates.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(RIDGE / 100))) if i == j else value / F.col(f"l{j}{j}"))
+    return estimates.withColumn("det", functools.reduce(lambda a, i: a * F.col(f"l{i}{i}") * F.col(f"l{i}{i}"), range(DIMS), F.lit(1.0)))
+
+
+def _squared_distance() -> Column:
+    """Of x.. from the mean m.. under the factor l..: forward substitution, each term a column expression."""
+    y: list[Column] = []
+    for i in range(DIMS):
+        y.append(functools.reduce(lambda a, k: a - F.col(f"l{i}{k}") * y[k], range(i), F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"l{i}{i}"))
+    return functools.reduce(lambda a, b: a + b, [v * v for v in y])
+
 
+def _with(rows: DataFrame, small: DataFrame, on: list[str], few: bool) -> DataFrame:
+    """rows joined with one row of ``small`` each: broadcast if the groups are few, else by salted keys, as one may hold most rows."""
+    if few:
+        return rows.join(F.broadcast(small), on)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*X), F.lit(SALTS)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
 
-def _estimates(rows: DataFrame, chosen: Column) -> DataFrame:
-    """Mean and covariance of the chosen rows of each group."""
-    at = [F.when(chosen, F.col(f"x{i}")) for i in range(DIMS)]
-    means = [F.avg(a).alias(f"m{i}") for i, a in enumerate(at)]
-    covs = [F.covar_pop(at[i], at[j]).alias(f"c{i}{j}") for j in range(DIMS) for i in range(j, DIMS)]
-    return rows.groupBy("g").agg(*means, *covs)
+
+def mcd_estimates(points: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(g, n, m.., c..) for every group g of ``points`` (g, x0..x3), and whether the groups are few enough to broadcast.
+
+    The covariances have the ridge and are scaled to the chi-square median. Starts 0 and 1 are the halves nearest to the
+    medians by sum of squares and by largest deviation, in units of the spreads; the others are some SEEDS vectors
+    drawn by their hash.
+    """
+    middle = points.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, [0.1, 0.5, 0.9], 1000).alias(f"p{i}") for i, x in enumerate(X)])
+    middle = scratch.write(middle)
+    few = middle.count() <= MOST_GROUPS
+    rows = points.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    apart = [((F.col(x) - F.col(f"p{i}")[1]) / (F.col(f"p{i}")[2] - F.col(f"p{i}")[0] + RIDGE)) ** 2 for i, x in enumerate(X)]
+    first = F.when(F.col("s") == 0, functools.reduce(lambda a, b: a + b, apart)).when(F.col("s") == 1, F.greatest(*apart))
+    drawn = F.when(F.col("s") > 1, uniform(F.col("s"), *[F.col(x) for x in X], seed=5) * F.col("n") < SEEDS)
+    placed = _with(rows, middle, ["g"], few).select("g", "s", *X, first.alias("d"), drawn.alias("drawn"), F.lit(None).cast("double").alias("det"))
+    found: list[DataFrame] = []
+    while True:
+        bounds = placed.groupBy("g", "s").agg(F.percentile_approx("d", SHARE, 1000).alias("bound"))
+        picked = _with(placed, bounds, ["g", "s"], few)
+        chosen = F.coalesce("drawn", F.col("d") <= F.col("bound"))
+        at = [F.when(chosen, F.col(x)) for x in X]
+        covs = [(F.covar_pop(at[i], at[j]) + (RIDGE if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
+        estimates = picked.groupBy("g", "s").agg(F.max("det").alias("before"), *[F.avg(a).alias(m) for a, m in zip(at, MEANS, strict=True)], *covs)
+        found.append(scratch.write(_factored(estimates.filter(F.col("m0").isNotNull()))))
+        falling = F.col("before").isNull() | (F.col("det") < F.col("before") * (1 - SETTLED))
+        if len(found) >= STEPS or found[-1].filter(falling).isEmpty():
+            break
+        moved = _with(rows, found[-1].select("g", "s", *MEANS, *FACTORS, "det"), ["g", "s"], few)
+        placed = moved.select("g", "s", *X, _squared_distance().alias("d"), F.lit(None).cast("boolean").alias("drawn"), "det")
+    every = functools.reduce(DataFrame.unionByName, found)
+    best = scratch.write(every.groupBy("g").agg(F.min(F.struct("det", *MEANS, *COVS, *FACTORS)).alias("b")).select("g", "b.*"))
+    mids = _with(points, best, ["g"], few).groupBy("g").agg(F.percentile_approx(_squared_distance(), 0.5, 1000).alias("mid"))
+    # the half's covariance is smaller than the whole's, never larger
+    scale = F.greatest(F.col("mid") / CHI2_MEDIAN, F.lit(1.0))
+    out = best.join(mids, "g").join(middle.select("g", "n"), "g").select("g", "n", *MEANS, *[(F.col(c) * scale).alias(c) for c in COVS])
+    return scratch.write(out), few
+
+
+def _shrunk(own: DataFrame, wide: DataFrame, key: str) -> DataFrame:
+    """own's estimates drawn to those of ``wide`` (named by own's column ``key``), with the weight w = n / (n + PRIOR).
+
+    The covariance has w^2 (1 - w) times the square of the means' difference added: a group of some ten vectors may lie
+    elsewhere than the wider one, a few vectors are judged by the wider one.
+    """
+    w = F.col("n") / (F.col("n") + PRIOR)
+    other = wide.select(F.col("g").alias(key), *[F.col(c).alias(f"__{c}") for c in (*MEANS, *COVS)])
+    apart = [F.col(m) - F.col(f"__{m}") for m in MEANS]
+    drawn = [(w * F.col(m) + (1 - w) * F.col(f"__{m}")).alias(m) for m in MEANS]
+    drawn += [(w * F.col(c) + (1 - w) * F.col(f"__{c}") + w * w * (1 - w) * apart[i] * apart[j]).alias(c) for c, (i, j) in zip(COVS, PAIRS, strict=True)]
+    return own.join(other, key).select(*[c for c in own.columns if c not in (*MEANS, *COVS)], *drawn)
 
 
 def mcd_distances(stats: DataFrame, scratch: Scratch) -> DataFrame:
-    """stats (with lang, source and x0..x3) plus ``distance``: squared Mahalanobis distance from the group's estimate,
-    scaled so that a group's median is that of the chi-square distribution.
+    """stats (with lang, source and x0..x3) plus ``distance``: squared Mahalanobis distance from the (lang, source)'s estimate.
 
-    A group is a (lang, source) with LEAST_ROWS rows; rows of smaller groups join a group of their language, and
-    those of languages that are small too one group of all. Null langs and sources are values of their own.
+    Null langs and sources are values of their own.
     """
-    lang, source = F.coalesce(F.to_json(F.struct("lang")), F.lit("")), F.coalesce(F.to_json(F.struct("source")), F.lit(""))
-    own, wider = F.concat(lang, source), F.concat(lang, F.lit("*"))
-    keyed = stats.withColumn("__own", own).withColumn("__wider", wider)
-    n_own = keyed.groupBy("__own", "__wider").agg(F.count(F.lit(1)).alias("n_own"))
-    rest = F.sum(F.when(F.col("n_own") < LEAST_ROWS, F.col("n_own")).otherwise(0))
-    n_wider = n_own.groupBy("__wider").agg(rest.alias("n_rest"))
-    groups = n_own.join(n_wider, "__wider").select(
-        "__own",
-        F.when(F.col("n_own") >= LEAST_ROWS, F.col("__own")).when(F.col("n_rest") >= LEAST_ROWS, F.col("__wider")).otherwise("*").alias("g"),
-    )
-    rows = scratch.write(keyed.join(groups, "__own").drop("__own", "__wider"))
-    x = [F.col(f"x{i}") for i in range(DIMS)]
-
-    # first step: distance from the medians in units of the spreads
-    medians = rows.groupBy("g").agg(*[F.percentile_approx(x[i], [0.1, 0.5, 0.9], 1000).alias(f"p{i}") for i in range(DIMS)])
-    near = rows.join(medians, "g")
-    apart = functools.reduce(lambda a, b: a + b, [((x[i] - F.col(f"p{i}")[1]) / (F.col(f"p{i}")[2] - F.col(f"p{i}")[0] + RIDGE)) ** 2 for i in range(DIMS)])
-    near = near.select("g", *x, apart.alias("d"))
-    for step in range(STEPS):
-        bound = near.groupBy("g").agg(F.percentile_approx("d", SHARE, 1000).alias("bound"))
-        picked = near.join(bound, "g")
-        estimates = scratch.write(_estimates(picked, F.col("d") <= F.col("bound")))
-        cov = {(i, j): F.col(f"c{i}{j}") + (RIDGE if i == j else 0.0) for j in range(DIMS) for i in range(j, DIMS)}
-        last = step == STEPS - 1
-        with_l, d2 = _distance(x, [F.col(f"m{i}") for i in range(DIMS)], cov, (rows if last else rows.select("g", *x)).join(estimates, "g"))
-        near = with_l.select("g", *x, d2.alias("d")) if not last else with_l.withColumn("d", d2).select(*rows.columns, "d")
-    middle = near.groupBy("g").agg(F.percentile_approx("d", 0.5, 1000).alias("mid"))
-    return near.join(middle, "g").withColumn("distance", F.col("d") * CHI2_MEDIAN / F.greatest("mid", F.lit(RIDGE))).drop("g", "d", "mid")
-
-
-def quality_verdicts(docs: DataFrame, bound: float = BOUND) -> DataFrame:
-    """docs' columns but for the text, with the statistics, base_failed, distance and kept.
-
-    Empty and null texts have no words and fail the base rule. Repeated rows each get the same verdict.
+    own, wider = F.xxhash64(F.lit(2), F.to_json(F.struct("lang", "source"))), F.xxhash64(F.lit(1), F.to_json(F.struct("lang")))
+    keyed = stats.withColumns({"g": own, "g1": wider, "g0": F.lit(0).cast("long")})
+    vectors = scratch.write(keyed.select("g", "g1", "g0", *X).distinct())
+    points = scratch.write(vectors.select(F.explode(F.array("g", "g1", "g0")).alias("g"), *X).distinct())
+    estimates, few = mcd_estimates(points, scratch)
+    levels = vectors.select("g", "g1", "g0").distinct()
+    wide = _shrunk(estimates.join(levels.select(F.col("g1").alias("g"), "g0").distinct(), "g"), estimates, "g0")
+    own = scratch.write(_factored(_shrunk(estimates.join(levels.select("g", "g1"), "g"), wide, "g1")).select("g", *MEANS, *FACTORS))
+    return _with(keyed.drop("g1", "g0"), own, ["g"], few).withColumn("distance", _squared_distance()).drop("g", *MEANS, *FACTORS)
+
+
+def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """doc_id, lang and source of docs, with the statistics, base_failed, distance and kept, one row for each of docs.
+
+    Empty and null texts have no words and fail the base rule. Repeated rows each get the same verdict. Whole texts
+    are read, however long; other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession)
     stats = text_statistics(docs.select("doc_id", "lang", "source", "text"))
-    stats = scratch.write(stats.select("*", *[c.alias(f"x{i}") for i, c in enumerate(statistic_vector())]))
-    scored = mcd_distances(stats, scratch)
+    stats = scratch.write(stats.select("*", *[c.alias(x) for c, x in zip(statistic_vector(), X, strict=True)]))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return (
-        scored.drop(*[f"x{i}" for i in range(DIMS)])
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= bound))
-    )
+    scored = mcd_distances(stats, scratch).drop(*X).withColumn("base_failed", failed)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= chi2_bound(tail)))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
