@@ -57,7 +57,7 @@ BANDS, DEEP_BANDS = 2, 8
 BITS = 512
 SEGMENT = 1 << 20
 #: Pairs to compare for each document, below which what is left is compared in one round.
-FINISH = 100
+FINISH = 1000
 #: Pairs of one list that are compared in one part of it.
 PART = 4_000_000
 #: Rows (id, hash of the text, key) that are broadcast at most: 24 MB.
@@ -339,11 +339,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
             grown = comp.join(new, "comp", "left").select("key", F.coalesce("top", "comp").alias("comp"))
             comp = scratch.write(grown.unionByName(found.withColumnRenamed("id", "key").join(comp, "key", "left_anti")))
         scratch.drop(close, links)
+        if not most:
+            break
         # what is left: lists with members in several components, less the pivots that have met all others
         left = active.drop("comp", "part").join(pivots.select("v", "key"), ["v", "key"], "left_anti").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         labelled = scratch.write(_open(left))
         scratch.drop(active)
-        if not most or labelled.isEmpty():
+        if labelled.isEmpty():
             break
         largest, work = _outside_largest(labelled, scratch)
         if work > FINISH * n_reps and not deep:  # new lists of what is left; both ends of every untested pair are

@@ -267,6 +267,65 @@ def test_quality_rules_statistics(spark, docs, odd, empty):
     assert quality_rules.quality_verdicts(empty).isEmpty()
 
 
+def brute_mcd(x, rng):
+    """Mean and scaled covariance of the half of x with the least determinant, over many starts, as numpy has them."""
+    ridge, half, best = quality_rules.RIDGE * np.eye(4), (len(x) + 1) // 2, None
+    for _ in range(40):
+        at = rng.permutation(len(x))[: min(len(x), 6)]
+        for _ in range(30):
+            m, c = x[at].mean(0), np.cov(x[at].T, bias=True).reshape(4, 4) + ridge
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            at = np.argsort(d, kind="stable")[:half]
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, c * max(np.sort(d)[half - 1] / quality_rules.CHI2_MEDIAN, 1.0)
+    return best[1], best[2], best[0]
+
+
+def test_quality_rules_against_brute_force_mcd(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stats = quality_rules.text_statistics(docs.select("doc_id", "lang", "source", "text"))
+    rows = stats.select("doc_id", "lang", "source", *[c.alias(x) for c, x in zip(quality_rules.statistic_vector(), quality_rules.X, strict=True)]).collect()
+    got, rng, groups = {r["doc_id"]: r for r in quality_rules.quality_verdicts(docs).collect()}, np.random.default_rng(2), collections.defaultdict(set)
+    for r in rows:
+        for g in ((r["lang"], r["source"]), (r["lang"],), ()):
+            groups[g].add(tuple(r[x] for x in quality_rules.X))
+    own = {g: brute_mcd(np.array(sorted(v)), rng) for g, v in groups.items()}
+
+    def shrunk(g):
+        m, c, _ = own[g]
+        if g:
+            w, (wide, cov) = len(groups[g]) / (len(groups[g]) + quality_rules.PRIOR), shrunk(g[:-1])
+            d = m - wide
+            m, c = w * m + (1 - w) * wide, w * c + (1 - w) * cov + w * w * (1 - w) * np.outer(d, d)
+        return m, c
+
+    final, agree, close = {g: shrunk(g) for g in own}, [], []
+    for r in rows:
+        m, c = final[r["lang"], r["source"]]
+        d = np.array([r[x] for x in quality_rules.X]) - m
+        want = d @ np.linalg.inv(c) @ d
+        agree.append((got[r["doc_id"]]["distance"] <= quality_rules.chi2_bound(quality_rules.TAIL)) == (want <= quality_rules.chi2_bound(quality_rules.TAIL)))
+        close.append(got[r["doc_id"]]["distance"] / want)
+    assert np.mean(agree) >= 0.99 and 0.8 < np.median(close) < 1.25
+
+
+def test_chi2_bound():
+    assert quality_rules.chi2_bound(0.001) == pytest.approx(18.4668, abs=1e-3) and quality_rules.chi2_bound(0.5) == pytest.approx(quality_rules.CHI2_MEDIAN, abs=1e-3)
+
+
+def test_quality_rules_copies_count_once(spark):
+    good = [(i, " ".join(f"word{(i * 7 + j * j) % 997}" for j in range(100 + i % 50)) + ".", "en", "s") for i in range(200)]
+    bad = [(1000 + i, " ".join(f"{'#$%' * 30}{j}" for j in range(60)), "en", "s") for i in range(300)]  # more than half
+    out = quality_rules.quality_verdicts(spark.createDataFrame(good + bad, SCHEMA)).collect()
+    assert all(r["kept"] == (r["doc_id"] < 1000) for r in out)
+
+
+def test_quality_rules_estimates_without_broadcast(spark, docs, monkeypatch):
+    plain = sorted((r["doc_id"], r["kept"]) for r in quality_rules.quality_verdicts(docs).collect())
+    monkeypatch.setattr(quality_rules, "MOST_GROUPS", 0)
+    assert sorted((r["doc_id"], r["kept"]) for r in quality_rules.quality_verdicts(docs).collect()) == plain
+
+
 def test_quality_rules_reject_outliers(spark, docs):
     good = [(i, " ".join(f"word{(i * 7 + j * j) % 997}" for j in range(100 + i % 50)) + ".", "en", "s") for i in range(300)]
     bad = [(1000 + i, " ".join(f"{'#$%' * 30}{j}" for j in range(60)), "en", "s") for i in range(5)]
@@ -363,9 +422,10 @@ def test_near_duplicates_against_all_pairs(spark, docs, size):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
-@pytest.mark.parametrize("finish", [0, 20])
+@pytest.mark.parametrize("finish", [0, 1000])
 def test_near_duplicates_in_a_group_of_near_misses(spark, monkeypatch, finish):
-    monkeypatch.setattr(minhash_dedup, "FINISH", finish)  # with 0 all is left to rounds of pivots
+    monkeypatch.setattr(minhash_dedup, "FINISH", finish)  # with 0 all is left to deep sketches and rounds of pivots
+    monkeypatch.setattr(minhash_dedup, "PART", 50)  # lists in many parts
     rng, rows = np.random.default_rng(5), []
     text = [f"w{i}" for i in range(150)]
     for k in range(90):  # up to 24 words from a small vocabulary: similarities to the original from 0.55 up
