@@ -58,8 +58,8 @@ BITS = 512
 SEGMENT = 1 << 20
 #: Pairs to compare for each document, below which what is left is compared in one round.
 FINISH = 1000
-#: Pairs of one list that are compared in one part of it.
-PART = 4_000_000
+#: Pairs of one list that are compared in one part of it, and from which on it is long: a pair is made in one long list only.
+PART, LONG = 4_000_000, 1000
 #: Rows (id, hash of the text, key) that are broadcast at most: 24 MB.
 MOST_IDS = 1_000_000
 
@@ -234,6 +234,12 @@ def _entries(lists: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataF
     return out, (apart <= sizes * ((1 - threshold) / (1 + threshold)) + 1e-6) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
 
 
+def _first_meeting() -> Column:
+    """Whether the long lists s0..s2 of x. and y. entries, by side, have the two meet in no long list before this one."""
+    shared = F.concat(*[F.array_intersect(f"x.s{i}", f"y.s{j}") for i, j in ((2, 2), (0, 1), (1, 0))])
+    return F.coalesce(F.array_min(shared), F.col("x.v")) == F.col("x.v")
+
+
 def _close(pairs: DataFrame, reps: DataFrame, threshold: float, k: int) -> DataFrame:
     """The pairs (a, b) whose sketches leave it possible that they are links."""
     a = reps.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -324,7 +330,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
         if comp is not None:  # those of one component need no test
             met = met.filter(F.col("x.comp") != F.col("y.comp"))
         if not most:
-            met = met.filter((F.col("x.side") == 2) | (F.col("x.side") != F.col("y.side")))
+            met = met.filter((F.col("x.side") == 2) | (F.col("x.side") != F.col("y.side"))).filter(_first_meeting())
         pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         close = scratch.write(_close(pairs, reps, threshold, k))
         full = sets.of_pairs(close)
@@ -342,7 +348,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
         if not most:
             break
         # what is left: lists with members in several components, less the pivots that have met all others
-        left = active.drop("comp", "part").join(pivots.select("v", "key"), ["v", "key"], "left_anti").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        left = active.select("v", "key", "side", "common", "n", "odd").join(pivots.select("v", "key"), ["v", "key"], "left_anti").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         labelled = scratch.write(_open(left))
         scratch.drop(active)
         if labelled.isEmpty():
@@ -362,13 +368,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, k: i
             largest, work = _outside_largest(labelled, scratch)
         if not work:
             break
-        rest = labelled.join(largest.select("v", "largest", "parts"), "v").filter(F.col("comp") != F.col("largest")).drop("largest")
-        active = scratch.write(labelled.join(largest.select("v", "parts"), "v").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts"))
+        entries = labelled.join(largest.select("v", "largest", "parts", (F.col("work") >= LONG).alias("long")), "v")
+        own = entries.filter("long").groupBy("key").agg(*[F.collect_list(F.when(F.col("side") == i, F.col("v"))).alias(f"s{i}") for i in range(3)])
+        active = scratch.write(entries.join(own, "key", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))))
+        rest = active.filter(F.col("comp") != F.col("largest")).drop("part")
         if work <= FINISH * n_reps:
             most = 0
         else:
             order = Window.partitionBy("v").orderBy(F.desc("common"), F.desc("key"))
-            rest = rest.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).drop("r")
+            rest = rest.drop("s0", "s1", "s2").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).drop("r")
             most *= 2
         pivots = scratch.write(rest)
         scratch.drop(labelled, largest)

@@ -426,6 +426,7 @@ def test_near_duplicates_against_all_pairs(spark, docs, size):
 def test_near_duplicates_in_a_group_of_near_misses(spark, monkeypatch, finish):
     monkeypatch.setattr(minhash_dedup, "FINISH", finish)  # with 0 all is left to deep sketches and rounds of pivots
     monkeypatch.setattr(minhash_dedup, "PART", 50)  # lists in many parts
+    monkeypatch.setattr(minhash_dedup, "LONG", 30)
     rng, rows = np.random.default_rng(5), []
     text = [f"w{i}" for i in range(150)]
     for k in range(90):  # up to 24 words from a small vocabulary: similarities to the original from 0.55 up
