@@ -75,7 +75,8 @@ def token_ends(text: str, path: str, pattern: str) -> np.ndarray:
 def attribute(ends: np.ndarray, text: str, spans: np.ndarray, rule: str) -> tuple[np.ndarray, int, float]:
     """(count of each span, tokens that cross a boundary, tokens outside); spans: rows of (start, end) in characters.
 
-    Spans are clipped to the text. They may leave gaps but must not overlap.
+    Spans are clipped to the text and may leave gaps. What several spans hold is that of the one that starts first, or of
+    the first given of those.
     """
     counts = np.zeros(len(spans))
     if not len(ends) or not len(spans):
@@ -87,9 +88,9 @@ def attribute(ends: np.ndarray, text: str, spans: np.ndarray, rule: str) -> tupl
         lead = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # the byte offset of each character
         at = lead[np.clip(spans, 0, len(text))]
     order = np.argsort(at[:, 0], kind="stable")
-    lo, hi = at[order, 0], np.maximum(at[order, 1], at[order, 0])
-    if (lo[1:] < hi[:-1]).any():
-        raise ValueError("sections overlap")
+    lo, hi = at[order, 0].copy(), np.maximum(at[order, 1], at[order, 0])
+    lo[1:] = np.maximum(lo[1:], np.maximum.accumulate(hi)[:-1])
+    hi = np.maximum(hi, lo)
     starts = ends - np.diff(ends, prepend=0)
     # the spans that a token can touch are first..last
     first, last = np.searchsorted(hi, starts, "right"), np.searchsorted(lo, ends, "left") - 1
@@ -124,7 +125,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
     ``sections`` names a column array<struct<name:string,start:int,end:int>> of character spans, which is replaced;
     without it each line is a section: the first is the title, the others are body. Null and empty texts have no
     tokens, and each of their sections counts 0. Null sections are none: all tokens are outside. A null bound or
-    one beyond the text is the text's end. Repeated rows all stay; columns that clash with the added ones are
+    one beyond the text is the text's end. Where sections overlap, the one that starts first has the text. Repeated rows all stay; columns that clash with the added ones are
     replaced.
     """
     if rule not in RULES:
