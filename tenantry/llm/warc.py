@@ -14,6 +14,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,12 +32,13 @@ _ENDS = {"<!--": re.compile("-->"), "<![cdata[": re.compile(r"\]\]>")} | {x: re.
 #: What hides all that follows if it is not ended.
 _TO_END = ("<!--", "script", "style")
 _WHOLE_TAG = re.compile(r"<[^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*>")
-_BREAKS = re.compile(r"<(?:/?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|thead|tbody|h[1-6]|section|article|header|footer|nav|main|aside|form|blockquote|pre|title|head|body|html|option|figure|figcaption))(?=[\s/>])[^>]*>", re.I)
-_CELLS = re.compile(r"</?(?:td|th)(?=[\s/>])[^>]*>", re.I)
-_TAGS = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html(?=[\s/>])[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a(?=[\s/>])[^>]*?\bhref\s*=", re.I)
+#: Elements that end a line, and those that stand in one beside others.
+_BREAKS = frozenset("p div br hr li ul ol dl dt dd tr table thead tbody h1 h2 h3 h4 h5 h6 section article header footer nav main aside form blockquote pre title head body html option figure figcaption".split())
+_CELLS = frozenset(("td", "th"))
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)(?=[\s/]|$)")
+_TITLE, _TITLE_END = re.compile(r"<title(?=[\s/>])", re.I), re.compile(r"</title\s*>", re.I)
+_HTML, _LANG = re.compile(r"<html(?=[\s/>])", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_LINK, _HREF = re.compile(r"<a(?=[\s/>])", re.I), re.compile(r"\bhref\s*=", re.I)
 
 
 def digest(block: bytes) -> str:
@@ -53,26 +55,62 @@ def _without_hidden(page: str) -> str:
 
     A self-closed svg is one tag. Of other elements without an end tag only script and style hide what follows.
     """
-    out, kept, at, unended = [], 0, 0, set()
+    out, kept, at, unended, quoted = [], 0, 0, set(), True
     while m := _HIDDEN.search(page, at):
         name = (m[1] or m[0]).lower()
         at = m.end()
-        tag = _WHOLE_TAG.match(page, m.start()) if name == "svg" else None
+        tag = _WHOLE_TAG.match(page, m.start()) if name == "svg" and quoted else None
+        if name == "svg" and tag is None:
+            quoted = False  # a tag without an end: others are not looked at, so that the work stays linear
         end = tag if tag and tag[0].endswith("/>") else None
         if end is None and name not in unended:
             end = _ENDS[name].search(page, at)
         if end is None and name not in _TO_END:
             unended.add(name)
+            at = tag.end() if tag else at
             continue
         out += [page[kept : m.start()], " "]
         kept = at = end.end() if end else len(page)
     return "".join([*out, page[kept:]])
 
 
+def _without_tags(page: str) -> str:
+    """page without its tags in one pass: a line end for those of block elements, a blank for those of cells."""
+    out, at, start = [], 0, page.find("<")
+    while start >= 0:
+        if not (page[start + 1 : start + 2].isascii() and (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("!", "/", "?"))):
+            start = page.find("<", start + 1)
+            continue
+        end = page.find(">", start)
+        if end < 0:
+            break
+        m = _NAME.match(page[start + 1 : end])
+        name = m[1].lower() if m else ""
+        out += [page[at:start], "\n" if name in _BREAKS else " " if name in _CELLS else ""]
+        at, start = end + 1, page.find("<", end + 1)
+    return "".join([*out, page[at:]])
+
+
+def _first_tag(page: str, pattern: re.Pattern) -> tuple[str, int]:
+    """What the first tag that the pattern starts holds, and where it ends; empty where there is none."""
+    m = pattern.search(page)
+    end = page.find(">", m.end()) if m else -1
+    return (page[m.end() : end], end + 1) if end >= 0 else ("", -1)
+
+
+def _outlinks(page: str) -> int:
+    """The number of anchors with an address."""
+    n = at = 0
+    while (m := _LINK.search(page, at)) and (end := page.find(">", m.end())) >= 0:
+        n += bool(_HREF.search(page, m.end(), end))
+        at = end
+    return n
+
+
 def plain_text(page: str) -> str:
     """The visible text of a page: block elements end lines, scripts and comments go, entities are decoded, runs of blanks close up."""
     page = _without_hidden(page)
-    page = _TAGS.sub("", _CELLS.sub(" ", _BREAKS.sub("\n", page)))
+    page = _without_tags(page)
     lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -89,6 +127,35 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return first, {k: ", ".join(v) for k, v in headers.items()}, payload
 
 
+def _dechunked(body: bytes) -> bytes:
+    """The body of a chunked message; what does not read as chunks is left as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,12}", size):
+            return body
+        if not (n := int(size, 16)):
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) if out else body
+
+
+def decoded_body(headers: dict[str, str], payload: bytes) -> bytes:
+    """The payload without its transfer and content encodings (chunked, gzip, deflate); what fails to decode is left as it is."""
+    if "chunked" in headers.get("transfer-encoding", "").lower():
+        payload = _dechunked(payload)
+    for kind in reversed([x.strip().lower() for x in headers.get("content-encoding", "").split(",")]):
+        try:
+            if kind in ("gzip", "x-gzip"):
+                payload = zlib.decompress(payload, 47)
+            elif kind == "deflate":
+                payload = zlib.decompress(payload, 15 if payload[:1] and payload[0] & 15 == 8 else -15)
+        except zlib.error:
+            break
+    return payload
+
+
 def _one_line(value: str) -> str:
     return " ".join(value.split())
 
@@ -97,17 +164,20 @@ def derive(record_id: str, target_uri: str | None, date: str | None, block: byte
     """The metadata and the conversion record of one response."""
     status, headers, payload = split_http(block)
     source_digest = digest(payload)
+    body = decoded_body(headers, payload)
     charsets = re.findall(r"charset=[\"']?([\w-]+)", headers.get("content-type", ""), re.I)
     try:
-        page = payload.decode(charsets[-1] if charsets else "utf-8", "replace")
+        page = body.decode(charsets[-1] if charsets else "utf-8", "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     text = plain_text(page).encode("utf-8", "replace")
     conversion_id, metadata_id = urn(f"{record_id}#conversion"), urn(f"{record_id}#metadata")
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    at = _first_tag(page, _TITLE)[1]
+    title_end = _TITLE_END.search(page, at) if at >= 0 else None
+    title, lang = html.unescape(page[at : title_end.start()]) if title_end else "", _LANG.search(_first_tag(page, _HTML)[0])
     source = {f"source-{k}": v for k, v in headers.items()}
     fields = [("status", status), *source.items()]
-    fields += [("title", html.unescape(title[1]) if title else ""), ("language", lang[1] if lang else ""), ("outlinks", str(len(_LINK.findall(page))))]
+    fields += [("title", title), ("language", lang[1] if lang else ""), ("outlinks", str(_outlinks(page)))]
     fields += [("source-payload-length", str(len(payload))), ("source-payload-digest", source_digest), ("text-length", str(len(text))), ("text-digest", digest(text)), ("conversion", conversion_id)]
     about = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields if v).encode("utf-8", "replace")
     common = {"target_uri": target_uri, "date": date, "refers_to": record_id, "payload_digest": source_digest}
@@ -123,7 +193,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
     ``responses`` has record_id, target_uri, date (strings) and block (binary: HTTP headers and payload, or a bare
     payload). A null block is an empty one and gives an empty text; a null record_id is named by the block's
     digest, so that the two records still agree. Other columns are carried along, but for those that clash with
-    RECORD's. Repeated rows all stay.
+    RECORD's. Repeated rows all stay. Chunked and compressed payloads are decoded for the text, digests are of the payload
+    as it came. Work is linear in a page's length, however its tags are broken.
     """
     names = [x.split()[0] for x in RECORD.split(", ")]
     others = [c for c in responses.columns if c not in names]
@@ -142,6 +213,39 @@ def derivatives(responses: DataFrame) -> DataFrame:
     return responses.select(*others, "record_id", "target_uri", "date", "block").mapInPandas(run, schema)
 
 
+def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a WARC file, plain or compressed record by record."""
+    if raw[:2] == b"\x1f\x8b":
+        parts = []
+        while raw[:2] == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
+            parts.append(member.decompress(raw) + member.flush())
+            raw = member.unused_data
+        raw = b"".join(parts)
+    at = 0
+    while (start := raw.find(b"WARC/", at)) >= 0 and (gap := raw.find(b"\r\n\r\n", start)) >= 0:
+        pairs = (x.split(":", 1) for x in raw[start:gap].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
+        headers = {k.strip().lower(): v.strip() for k, v in pairs}
+        n = int(headers["content-length"]) if headers.get("content-length", "").isdigit() else 0
+        yield headers, raw[gap + 4 : gap + 4 + n]
+        at = gap + 4 + n
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records (record_id, target_uri, date, block) of the WARC files under path, as derivatives() takes them.
+
+    A file is read by one task as a whole, as is usual for files of this kind, which are written at some 1 GB each.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for raw in batch["content"]:
+                rows = [(h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), block) for h, block in parse_records(bytes(raw)) if h.get("warc-type") == "response"]
+                yield pd.DataFrame(rows, columns=["record_id", "target_uri", "date", "block"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "record_id string, target_uri string, date string, block binary")
+
+
 def serialise(records: DataFrame) -> DataFrame:
     """records with ``warc``: the record as the bytes of a WARC/1.1 file, ready to be joined to others."""
 

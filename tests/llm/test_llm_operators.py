@@ -2,9 +2,11 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import re
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -182,6 +184,17 @@ def test_token_counts_long_text_in_parts(monkeypatch):
     assert (token_counts.token_ends(text, *BPE) == whole).all()
 
 
+def test_token_counts_of_overlapping_sections():
+    text = "one two three four five six seven"
+    ends = token_counts.token_ends(text, *BPE)
+    for spans in ([(0, 20), (10, 33)], [(10, 33), (0, 20)], [(0, 33), (3, 9), (5, 40)]):
+        counts, _, outside = token_counts.attribute(ends, text, np.array(spans), "most")
+        first = min(range(len(spans)), key=lambda i: spans[i][0])
+        assert counts.sum() + outside == len(ends) and outside == 0
+        alone, _, rest = token_counts.attribute(ends, text, np.array([spans[first]]), "start")
+        assert abs(counts[first] - alone[0]) <= 1 and abs(counts.sum() - counts[first] - rest) <= 1
+
+
 def test_token_counts_odd(odd, empty):
     out = token_counts.count_tokens(odd, *BPE).collect()
     assert len(out) == len(ODD) and "id" in out[0].asDict()
@@ -248,6 +261,31 @@ def test_warc_keeps_all_source_headers():
     assert want.items() <= dict(x.split(": ", 1) for x in metadata["block"].decode().split("\r\n") if x).items()
 
 
+def test_warc_encoded_bodies_and_hostile_pages():
+    page = "<html lang='en'><title>T</title><p>a</p><p>b <a href=x>l</a></p>".encode()
+    chunked = b"".join(b"%x;ext\r\n%s\r\n" % (len(page[i : i + 7]), page[i : i + 7]) for i in range(0, len(page), 7)) + b"0\r\n\r\n"
+    for head, body in ((b"Transfer-Encoding: chunked", chunked), (b"Content-Encoding: gzip", gzip.compress(page)), (b"Content-Encoding: deflate", zlib.compress(page)), (b"Content-Encoding: gzip", page)):
+        metadata, conversion = warc.derive("r", None, None, b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body)
+        assert conversion["block"] == b"T\na\nb l" and conversion["payload_digest"] == warc.digest(body)
+        about = dict(x.split(": ", 1) for x in metadata["block"].decode().split("\r\n") if x)
+        assert (about["title"], about["language"], about["outlinks"]) == ("T", "en", "1")
+    for mark in ("<a ", "<title>", "<![CDATA[", "<p ", "<svg ", "<td <", "<svg '", "<!", "<html "):
+        for end in ("", ">"):
+            began = time.time()
+            warc.derive("r", None, None, (mark * (1_000_000 // len(mark)) + end).encode())
+            assert time.time() - began < 2, mark
+
+
+def test_warc_reader(spark, tmp_path):
+    records = warc.serialise(warc.derivatives(spark.createDataFrame([("<r>", "u", "d", bytearray(b"HTTP/1.1 200 OK\r\n\r\n<p>x"))], "record_id string, target_uri string, date string, block binary"))).collect()
+    response = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nWARC-Target-URI: u\r\nWARC-Date: d\r\nContent-Length: 9\r\n\r\n<p>WARC/x\r\n\r\n"
+    plain = response + b"".join(bytes(r["warc"]) for r in records) + response
+    (tmp_path / "a.warc").write_bytes(plain)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(response) + gzip.compress(bytes(records[0]["warc"])))
+    got = sorted((r["record_id"], r["target_uri"], r["date"], bytes(r["block"])) for r in warc.read_responses(spark, str(tmp_path)).collect())
+    assert got == [("<r>", "u", "d", b"<p>WARC/x")] * 3
+
+
 # 5 quality rules
 
 
