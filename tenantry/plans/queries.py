@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..context import TenantContext, scope
 from ..functions import columns as C
-from ..operators import reconcile, relations, rules
+from ..operators import reconcile, referential, relations, rules
 from .mapping import SUPPLIER_BASE, Domain
 
 CTX = TenantContext(1)
@@ -190,12 +191,14 @@ def all_present(d: Domain) -> DataFrame:
     return relations.all_present(d.company_brands(), d.brands().filter("tenant_id <> 1").select(F.col("id").alias("brand_id")), "company_id", "brand_id")
 
 
-_CURRENT = "cur AS (SELECT DISTINCT organization_id, business_entity_id FROM oc WHERE id % 2 = 0), des AS (SELECT DISTINCT organization_id, business_entity_id FROM oc WHERE id % 3 = 0)"
+#: The desired links move every third company, and all of the last group, to the next of the other groups.
+_DESIRED = "CASE WHEN organization_id = 24 OR business_entity_id % 3 = 0 THEN (organization_id + 1) % 24 ELSE organization_id END"
+_CURRENT = f"cur AS (SELECT DISTINCT organization_id, business_entity_id FROM oc), des AS (SELECT DISTINCT {_DESIRED} AS organization_id, business_entity_id FROM oc)"
 
 
 def _sides(d: Domain) -> tuple[DataFrame, DataFrame]:
-    links = d.organization_companies()
-    return tuple(links.filter(f"id % {k} = 0").select("organization_id", "business_entity_id").distinct() for k in (2, 3))
+    links = d.organization_companies().select("organization_id", "business_entity_id").distinct()
+    return links, links.withColumn("organization_id", F.expr(_DESIRED)).distinct()
 
 
 @query(
@@ -333,22 +336,25 @@ def name_drift(d: Domain) -> DataFrame:
 
 @query("SELECT 'locations' AS child, count(*) AS n FROM loc WHERE tenant_id = 2 UNION ALL SELECT 'entities', count(*) FROM ent WHERE tenant_id = 2 UNION ALL SELECT 'links', count(*) FROM lbe WHERE location_id IN (SELECT id FROM loc WHERE tenant_id = 2) OR business_entity_id IN (SELECT id FROM ent WHERE tenant_id = 2)", "loc", "ent", "lbe")
 def cascade_delete_impact(d: Domain) -> DataFrame:
-    locations, entities = d.locations().filter("tenant_id = 2").select("id"), d.business_entities().filter("tenant_id = 2").select("id")
-    links = d.location_business_entities()
-    hit = links.join(locations, links["location_id"] == locations["id"], "left_semi").select("id").union(links.join(entities, links["business_entity_id"] == entities["id"], "left_semi").select("id")).distinct()
-    return locations.select(F.lit("locations").alias("child"), "id").union(entities.select(F.lit("entities"), "id")).union(hit.select(F.lit("links"), "id")).groupBy("child").agg(F.count(F.lit(1)).alias("n"))
+    state = {"tenants": d.tenants(), "locations": d.locations(), "business_entities": d.business_entities(), "location_business_entities": d.location_business_entities()}
+    new, _ = referential.delete(state, "tenants", d.tenants().filter("id = 2"))
+    named = {"locations": "locations", "business_entities": "entities", "location_business_entities": "links"}
+    gone = [state[t].select("id").join(new[t].select("id"), "id", "left_anti").select(F.lit(n).alias("child")) for t, n in named.items()]
+    return functools.reduce(DataFrame.union, gone).groupBy("child").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT com.id, com.business_entity_id FROM com JOIN ent ON ent.id = com.business_entity_id WHERE ent.tenant_id = 2", "com", "ent")
 def restrict_blockers(d: Domain) -> DataFrame:
-    return relations.where_has(d.companies(), d.business_entities(), "business_entity_id", condition=F.col("tenant_id") == 2).select("id", "business_entity_id")
+    state = {"business_entities": d.business_entities(), "companies": d.companies()}
+    _, found = referential.delete(state, "business_entities", d.business_entities().filter("tenant_id = 2"))
+    return found.select(F.col("entity_id").alias("id"), F.regexp_extract("detail", "=(.*)", 1).try_cast("long").alias("business_entity_id"))
 
 
 @query("SELECT lbe.id, CASE WHEN reg.tenant_id = 2 THEN NULL ELSE operational_region_id END AS operational_region_id FROM lbe LEFT JOIN reg ON reg.id = operational_region_id", "lbe", "reg")
 def set_null_effect(d: Domain) -> DataFrame:
-    gone = d.operational_regions().filter("tenant_id = 2").select(F.col("id").alias("gone"))
-    out = d.location_business_entities().join(gone, F.col("operational_region_id") == F.col("gone"), "left")
-    return out.select("id", F.when(F.col("gone").isNull(), F.col("operational_region_id")).alias("operational_region_id"))
+    state = {"operational_regions": d.operational_regions(), "location_business_entities": d.location_business_entities()}
+    new, _ = referential.delete(state, "operational_regions", d.operational_regions().filter("tenant_id = 2"))
+    return new["location_business_entities"].select("id", "operational_region_id")
 
 
 @query("SELECT c_custkey AS id, concat_ws(',', CASE WHEN c_name NOT SIMILAR TO '[A-Za-z0-9_-]+' THEN 'alpha_dash' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE') THEN 'in' END, CASE WHEN length(c_name) > 17 THEN 'max' END) AS broken FROM customer")
