@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local mode)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode a temporary one where it is unset."""
     global _own_dir
     if set_dir := spark.conf.get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tenantry-")
     return _own_dir
@@ -55,6 +57,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns in one struct, so that an operator's own columns clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in order; an empty array where there are none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, ascii_lower, table
+from .common import SPACES, Scratch, ascii_lower, table, whole_row
+
+#: Shared lines that are broadcast at most (16 bytes each), and salts of the join beyond.
+MOST_SHARED, SALTS = 1_000_000, 16
 
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -19,43 +22,42 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
 
     A line's key is the line stripped of white space at both ends with A-Z lower-cased; keys shorter than
     ``min_chars`` code points are never dropped. Returns the input's columns, the text replaced by the kept
-    lines, with ``__n_lines`` (before) and ``__n_dropped`` added.
+    lines, with ``__n_lines`` (before) and ``__n_dropped`` added, which replace columns of these names.
 
     Null and empty texts are one empty line and give an empty text. Rows with equal id count as one document,
-    a null id is a document of its own kind; each row keeps its own lines. Repeated rows all stay.
+    a null id is a document of its own kind; each row keeps its own lines. Repeated rows all stay. Other columns pass through whatever their names. Whole texts
+    are read, however long.
     """
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    own = F.xxhash64(F.lit(3), F.col(text_col))  # tells rows with one id and different texts apart
+    scratch, text = Scratch(docs.sparkSession), F.col("text")
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    # the input's columns lie in one struct, so that none clashes with those made here
+    rows = docs.select(whole_row(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("own", F.xxhash64(F.lit(3), "text"))
 
     def key_of(line):
         return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
     exploded = (
-        docs.select(F.col(id_col).alias("__id"), own.alias("__own"), F.posexplode(F.transform(lines, key_of)).alias("__pos", "__key"))
-        .filter(F.length("__key") >= max(min_chars, 1))
-        .select("__id", "__own", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(7), "__key").alias("__h2"))
-    )
-    exploded = Scratch(docs.sparkSession).write(exploded)
-    shared = (
-        exploded.groupBy("__h1", "__h2")
-        .agg(F.count_distinct(F.struct("__id")).alias("__docs"))
-        .filter(F.col("__docs") >= min_docs)
-        .select("__h1", "__h2")
-    )
-    dropped = exploded.join(shared, ["__h1", "__h2"], "left_semi").groupBy("__id", "__own").agg(F.collect_set("__pos").alias("__drop"))
-    joined = docs.withColumn("__row_own", own).join(
-        dropped, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row_own") == F.col("__own")), "left"
-    )
-    n = F.size(lines)
-    keep = F.when(F.col("__drop").isNull(), F.sequence(F.lit(0), n - 1)).otherwise(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__drop")))
-    out = joined.withColumn("__lines", lines).withColumn("__keep", keep)
-    kept = F.when(F.col("__drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
-        F.array_join(F.transform("__keep", lambda i: F.element_at("__lines", i + 1)), "\n")
+        rows.select("id", "own", F.posexplode(F.transform(lines, key_of)).alias("pos", "key"))
+        .filter(F.length("key") >= max(min_chars, 1))
+        .select("id", "own", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     )
+    exploded = scratch.write(exploded)
+    counted = exploded.groupBy("h1", "h2").agg(F.count_distinct(F.struct("id")).alias("n")).filter(F.col("n") >= min_docs)
+    shared = scratch.write(counted.select("h1", "h2"))
+    if shared.count() <= MOST_SHARED:
+        hit = exploded.join(F.broadcast(shared), ["h1", "h2"], "left_semi")
+    else:  # a line may be in a third of all documents: its rows are dealt by salts
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = exploded.withColumn("salt", F.pmod(F.xxhash64("id", "own"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"], "left_semi")
+    dropped = hit.groupBy(F.col("id").alias("drop_id"), F.col("own").alias("drop_own")).agg(F.collect_set("pos").alias("drop"))
+    joined = rows.join(dropped, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("own") == F.col("drop_own")), "left")
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    out = joined.withColumn("lines", lines).withColumn("keep", F.when(F.col("drop").isNull(), every).otherwise(F.array_except(every, F.col("drop"))))
+    kept = F.when(F.col("drop").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform("keep", lambda i: F.element_at("lines", i + 1)), "\n"))
     return out.select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size("__lines").cast("long").alias("__n_lines"),
-        (F.size("__lines") - F.size("__keep")).cast("long").alias("__n_dropped"),
+        *[kept.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c not in ("__n_lines", "__n_dropped")],
+        F.size("lines").cast("long").alias("__n_lines"),
+        (F.size("lines") - F.size("keep")).cast("long").alias("__n_dropped"),
     )
 
 
