@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, uniform, words
+from .common import Scratch, table, uniform, whole_row, words
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -26,7 +26,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     """(source, source_size, n_docs, target): ``share`` of all words split by weight, no source above ``most`` times its size.
 
     What a source cannot take is shared again by weight among the others until none is above: the water level
-    is found by sorting sources by bound / weight. The work is on one row per source. Null sources are one
+    is found by sorting sources by bound / weight. That is in one task, over one row of some 50 bytes per source: a
+    bound for up to tens of millions of sources, whatever the documents. Null sources are one
     source, the last in order. A source without words has target 0.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -132,22 +133,23 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs with each row repeated as often as the mix takes it (0, 1 or 2 times), with the same columns.
 
     Null texts have size 0 and null sources are one source. Rows equal in source, id and size share their copies
-    in the order of their text, the first taking one more where the total does not divide.
+    in the order of their text, the first taking one more where the total does not divide. Other columns pass through
+    whatever their names. Whole texts are read, however long.
     """
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    sizes = sized.select("source", "doc_id", F.col("__size").alias("size"))
+    # the input's columns lie in one struct, so that none clashes with those made here
+    sized = docs.select(whole_row(docs), "source", "doc_id", "text", word_count(F.col("text")).alias("size"))
     scratch = Scratch(docs.sparkSession)
-    sizes = scratch.write(sizes)
+    sizes = scratch.write(sized.select("source", "doc_id", "size"))
     units = mix_copies(sizes, scratch.write(source_targets(sizes)), seed).select(
-        F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("size").alias("__z"), "rows", "copies"
+        F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), "rows", "copies"
     )
-    joined = sized.join(units, F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__size") == F.col("__z")))
-    rank = F.row_number().over(Window.partitionBy("source", "doc_id", "__size").orderBy("text"))
-    alone = joined.filter(F.col("rows") == 1).withColumn("__n", F.col("copies"))
-    more = joined.filter(F.col("rows") > 1).withColumn("__r", rank)
-    more = more.withColumn("__n", F.floor(F.col("copies") / F.col("rows")) + (F.col("__r") <= F.col("copies") % F.col("rows")).cast("long")).drop("__r")
-    both = alone.unionByName(more).filter(F.col("__n") > 0)
-    return both.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    joined = sized.join(units, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z")))
+    rank = F.row_number().over(Window.partitionBy("source", "doc_id", "size").orderBy("text"))
+    alone = joined.filter(F.col("rows") == 1).select("row", F.col("copies").alias("n"))
+    extra = (rank <= F.col("copies") % F.col("rows")).cast("long")
+    more = joined.filter(F.col("rows") > 1).select("row", (F.floor(F.col("copies") / F.col("rows")) + extra).alias("n"))
+    both = alone.unionByName(more).filter(F.col("n") > 0)
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table, words
+from .common import LOWER, UPPER, table, whole_row, words
 
 #: Score at the cut.
 CUT = 0.7
+#: Standard deviations beyond which a feature counts no more, in training and in scoring.
+CLIP = 8.0
 NAMES = ("length", "symbols", "marks", "capitals", "digits", "adjacent", "distinct", "word_length", "lines")
 
 
@@ -49,11 +51,11 @@ def feature_columns(text: Column, w: Column, lines: Column) -> dict[str, Column]
 
 
 def with_features(docs: DataFrame, text_col: str, out: str) -> DataFrame:
-    """docs with the array column ``out`` of the features in the order of NAMES."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.withColumns({"__words": words(text), "__lines": F.filter(F.split(text, "\n", -1), lambda x: x != "")})  # once for all features
-    f = feature_columns(text, F.col("__words"), F.col("__lines"))
-    return split.withColumn(out, F.array(*[f[name].cast("double") for name in NAMES])).drop("__words", "__lines")
+    """The columns of docs in the struct ``row``, and the array column ``out`` of the features in the order of NAMES."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    split = docs.select(whole_row(docs), F.col(text_col).alias("text")).withColumns({"words": words(text), "lines": F.filter(F.split(text, "\n", -1), lambda x: x != "")})  # once for all features
+    f = feature_columns(text, F.col("words"), F.col("lines"))
+    return split.select("row", F.array(*[f[name].cast("double") for name in NAMES]).alias(out))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,7 +65,7 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Ranker:
-    """score = squash(weights . (x - mean) / scale + offset); x are features in the order of NAMES."""
+    """score = squash(weights . clip((x - mean) / scale) + offset); x are features in the order of NAMES."""
 
     weights: tuple[float, ...]
     mean: tuple[float, ...]
@@ -72,7 +74,8 @@ class Ranker:
     quantile: float
 
     def score(self, features: Column) -> Column:
-        terms = [(F.get(features, i) - m) * (w / s) for i, (w, m, s) in enumerate(zip(self.weights, self.mean, self.scale, strict=True))]
+        z = [(F.get(features, i) - m) / s for i, (m, s) in enumerate(zip(self.mean, self.scale, strict=True))]
+        terms = [F.least(F.greatest(v, F.lit(-CLIP)), F.lit(CLIP)) * w for v, w in zip(z, self.weights, strict=True)]
         raw = F.lit(self.offset)
         for t in terms:
             raw = raw + t
@@ -85,7 +88,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, steps: int = 30
     if not (y == 1).any() or not (y == 0).any():
         return Ranker((0.0,) * d, (0.0,) * d, (1.0,) * d, float(np.log(CUT / (1 - CUT))), 0.0)
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = np.clip((x - mean) / scale, -8, 8)
+    z = np.clip((x - mean) / scale, -CLIP, CLIP)
     rng = np.random.default_rng(seed)
     good, bad = rng.choice(np.flatnonzero(y == 1), pairs), rng.choice(np.flatnonzero(y == 0), pairs)
     diff = z[good] - z[bad]
@@ -95,7 +98,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, steps: int = 30
         g = -(diff * p[:, None]).mean(0) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    raw = np.clip(x, None, None) @ (w / scale) - (mean * w / scale).sum()
+    raw = z @ w
     # the quantile that separates the labels best; of equal ones the lowest, which rejects least
     order = np.argsort(raw, kind="stable")
     s, label = raw[order], y[order]
@@ -126,7 +129,7 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_co
     )
     # at most max_rows ids and labels of 12 bytes each
     sample = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    rows = with_features(sample, "__text", "__x").select("__x", "__y", "__doc", F.xxhash64("__text").alias("__h"))
+    rows = with_features(sample, "__text", "__x").select("__x", "row.__y", "row.__doc", F.xxhash64("row.__text").alias("__h"))
     rows = rows.orderBy(F.xxhash64("__doc"), "__doc", "__h").limit(max_rows).select("__x", "__y").toPandas()
     x = np.array(rows["__x"].tolist(), float).reshape(len(rows), len(NAMES))
     return fit_pairs(x, rows["__y"].to_numpy(int) if len(rows) else np.zeros(0, int))
@@ -135,10 +138,12 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_co
 def score_documents(docs: DataFrame, ranker: Ranker, text_col: str = "text", threshold: float = CUT) -> DataFrame:
     """docs with ``score`` (0 to 1) and ``predicted`` (1 where score >= threshold); columns of these names are replaced.
 
-    Null and empty texts are scored as texts without words. Repeated rows get equal scores.
+    Null and empty texts are scored as texts without words. Repeated rows get equal scores. Other columns pass through
+    whatever their names. Whole texts are read, however long.
     """
-    out = with_features(docs, text_col, "__x")
-    return out.withColumn("score", ranker.score(F.col("__x"))).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("__x")
+    scored = with_features(docs, text_col, "x").select("row", ranker.score(F.col("x")).alias("score"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    return scored.select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op6_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
