@@ -196,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     others = [c for c in docs.columns if c != text_col and c not in added]
-    schema = docs.select(*others).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", ArrayType(LongType()))
 
@@ -222,7 +222,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
                     rows.append((n, hashed.hexdigest(), decoded.hexdigest()) + ((np.concatenate(kept) if kept else np.array([], np.int64),) if with_ids else ()))
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=added)], axis=1)
 
-    return docs.select(*others, F.col(text_col).alias("__text")).mapInPandas(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text_col).alias("__text")).mapInPandas(run, schema)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

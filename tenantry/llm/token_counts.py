@@ -132,7 +132,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
         raise ValueError(f"rule is one of {RULES}")
     added = ("n_tokens", "n_crossing", "outside", "sections")
     others = [c for c in docs.columns if c not in (*added, text_col, sections)]
-    schema = StructType([*docs.select(*others).schema, *StructType.fromDDL(ADDED)])
+    schema = StructType([*docs.select(*[F.col(f"`{c}`") for c in others]).schema, *StructType.fromDDL(ADDED)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,7 +155,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=added)], axis=1)
 
     held = [F.col(text_col).alias("__text"), *([F.col(sections).alias("__sections")] if sections else [])]
-    return docs.select(*others, *held).mapInPandas(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in others], *held).mapInPandas(run, schema)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

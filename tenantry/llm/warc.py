@@ -198,7 +198,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """
     names = [x.split()[0] for x in RECORD.split(", ")]
     others = [c for c in responses.columns if c not in names]
-    schema = StructType([*responses.select(*others).schema, *StructType.fromDDL(RECORD)])
+    schema = StructType([*responses.select(*[F.col(f"`{c}`") for c in others]).schema, *StructType.fromDDL(RECORD)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -210,7 +210,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
                 at += [i, i]
             yield pd.concat([kept.iloc[at].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    return responses.select(*others, "record_id", "target_uri", "date", "block").mapInPandas(run, schema)
+    return responses.select(*[F.col(f"`{c}`") for c in others], "record_id", "target_uri", "date", "block").mapInPandas(run, schema)
 
 
 def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

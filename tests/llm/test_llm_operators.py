@@ -531,6 +531,27 @@ def test_line_dedup_odd(spark, odd, empty):
     assert line_dedup.drop_shared_lines(empty).isEmpty()
 
 
+def test_line_dedup_join_beyond_the_broadcast(spark, docs, monkeypatch):
+    plain = sorted(map(tuple, line_dedup.drop_shared_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "MOST_SHARED", 0)
+    assert sorted(map(tuple, line_dedup.drop_shared_lines(docs).collect())) == plain
+
+
+def test_clashing_columns_and_long_texts_pass_through(spark):
+    names = ["row", "id", "own", "rows", "copies", "size", "s", "n", "x", "words", "lines", "keep", "__id", "__x", "__s", "__drop", "a.b"]
+    long = "word another\n" * 100_000
+    docs = spark.createDataFrame([(i, t, "en", "s", *[f"{c}{i}" for c in names]) for i, t in enumerate([long, "short text", "", None] * 3)], ["doc_id", "text", "lang", "source", *names])
+    ranker = quality_ranker.fit_ranker(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int"))
+    outs = line_dedup.drop_shared_lines(docs), mixing.mix(docs), quality_ranker.score_documents(docs, ranker)
+    assert outs[0].columns == [*docs.columns, "__n_lines", "__n_dropped"] and outs[1].columns == docs.columns and outs[2].columns == [*docs.columns, "score", "predicted"]
+    for out in outs:
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in names)
+    assert outs[0].filter("doc_id = 0").first()["__n_lines"] == 100_001
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs).collect()} == {i: i % 4 if i % 4 < 2 else i for i in range(12)}
+    assert quality_rules.quality_verdicts(docs).filter("doc_id = 0").first()["n_words"] == 200_000
+    assert byte_bpe.encode_documents(docs.drop("a.b"), *MULTI).filter("doc_id = 0").first()["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 # 9 byte-level BPE
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
