@@ -3,8 +3,8 @@
 The statistics of every text become a vector of transformed ratios. For each (lang, source), each language and all
 rows a minimum covariance determinant estimate is sought over the distinct vectors, so that copies of a text count
 once: from several starts, concentration steps take the half of the vectors nearest to the current centre and give
-the next mean and covariance, until no determinant falls any more; of all starts and steps the least determinant
-wins. Covariances have RIDGE added, as statistics may be constant, so it is the regularised determinant that is
+the next mean and covariance. After TRIAL steps only the start of a group's least determinant goes on, until its
+determinant falls no more; of all starts and steps the least determinant wins. Covariances have RIDGE added, as statistics may be constant, so it is the regularised determinant that is
 least. An estimate is scaled so that the median of its squared distances is that of a chi-square distribution. A
 (lang, source) of n vectors has the weight n / (n + PRIOR) against its language, and that likewise against all rows:
 no group is too small for an estimate and none switches. A document is an outlier if its squared Mahalanobis
@@ -27,6 +27,8 @@ from .common import SPACES, Scratch, table, uniform, words
 DIMS = 4
 #: The share of vectors in the concentrated half, the starts, about how many vectors a random start has, and the most steps.
 SHARE, STARTS, SEEDS, STEPS = 0.5, 4, 12, 12
+#: The steps that all starts take; then only the best of each group goes on.
+TRIAL = 3
 #: A determinant that falls by less than this share has stopped.
 SETTLED = 1e-2
 #: Vectors at which a group weighs as much as the wider one.
@@ -144,11 +146,11 @@ def mcd_estimates(points: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]
     middle = points.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, [0.1, 0.5, 0.9], 1000).alias(f"p{i}") for i, x in enumerate(X)])
     middle = scratch.write(middle)
     few = middle.count() <= MOST_GROUPS
-    rows = points.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    starts = _with(points, middle, ["g"], few).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
     apart = [((F.col(x) - F.col(f"p{i}")[1]) / (F.col(f"p{i}")[2] - F.col(f"p{i}")[0] + RIDGE)) ** 2 for i, x in enumerate(X)]
     first = F.when(F.col("s") == 0, functools.reduce(lambda a, b: a + b, apart)).when(F.col("s") == 1, F.greatest(*apart))
     drawn = F.when(F.col("s") > 1, uniform(F.col("s"), *[F.col(x) for x in X], seed=5) * F.col("n") < SEEDS)
-    placed = _with(rows, middle, ["g"], few).select("g", "s", *X, first.alias("d"), drawn.alias("drawn"), F.lit(None).cast("double").alias("det"))
+    placed = starts.select("g", "s", *X, first.alias("d"), drawn.alias("drawn"), F.lit(None).cast("double").alias("det"))
     found: list[DataFrame] = []
     while True:
         bounds = placed.groupBy("g", "s").agg(F.percentile_approx("d", SHARE, 1000).alias("bound"))
@@ -158,10 +160,14 @@ def mcd_estimates(points: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]
         covs = [(F.covar_pop(at[i], at[j]) + (RIDGE if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
         estimates = picked.groupBy("g", "s").agg(F.max("det").alias("before"), *[F.avg(a).alias(m) for a, m in zip(at, MEANS, strict=True)], *covs)
         found.append(scratch.write(_factored(estimates.filter(F.col("m0").isNotNull()))))
-        falling = F.col("before").isNull() | (F.col("det") < F.col("before") * (1 - SETTLED))
-        if len(found) >= STEPS or found[-1].filter(falling).isEmpty():
+        live = found[-1]
+        if len(found) == TRIAL:
+            lead = live.groupBy("g").agg(F.min(F.struct("det", "s")).alias("b")).select("g", "b.s")
+            live = live.join(lead, ["g", "s"], "left_semi")
+        live = live.filter(F.col("before").isNull() | (F.col("det") < F.col("before") * (1 - SETTLED)))
+        if len(found) >= STEPS or live.isEmpty():
             break
-        moved = _with(rows, found[-1].select("g", "s", *MEANS, *FACTORS, "det"), ["g", "s"], few)
+        moved = _with(points, live.select("g", "s", *MEANS, *FACTORS, "det"), ["g"], few)
         placed = moved.select("g", "s", *X, _squared_distance().alias("d"), F.lit(None).cast("boolean").alias("drawn"), "det")
     every = functools.reduce(DataFrame.unionByName, found)
     best = scratch.write(every.groupBy("g").agg(F.min(F.struct("det", *MEANS, *COVS, *FACTORS)).alias("b")).select("g", "b.*"))
