@@ -101,3 +101,48 @@ def check_state(state: dict[str, DataFrame]) -> DataFrame:
     if "organizations" in state:
         found += [several_roots(state["organizations"]), own_parents(state["organizations"])]
     return functools.reduce(DataFrame.unionByName, found)
+
+
+def check_rows(state: dict[str, DataFrame], changed: dict[str, DataFrame], roots: bool = True) -> DataFrame:
+    """The declared rules for the changed rows of a state that holds them already; other rows are read only as parents or for equal keys.
+
+    With ``roots`` a changed root organization must be its tenant's only one.
+    """
+    found = []
+    for name, rows in changed.items():
+        table, entity = TABLES[name], TABLES[name].key[0]
+        found.append(violations(rows.filter(F.lit(False)), "", entity, ""))
+        found += [orphans(rows, state[r.parent], r.column, r.parent_key, entity, f"{name}.{r.column}.exists") for r in table.references if r.parent in state]
+        for u in table.unique:
+            same = state[name].join(rows.select(*u).distinct(), list(u), "left_semi")
+            found.append(duplicates(same, list(u), entity, f"{name}.{'_'.join(u)}.unique"))
+        found += [outside_domain(rows, c, v, entity, f"{name}.{c}.in") for c, v in table.domains.items()]
+    if "organizations" in changed:
+        rows = changed["organizations"]
+        found.append(own_parents(rows))
+        if roots:
+            tenants = rows.filter("parent_id is null").select("tenant_id").distinct()
+            found.append(several_roots(state["organizations"].join(tenants, "tenant_id", "left_semi")))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def endless_parents(organizations: DataFrame, rule_id: str = "no_cycle") -> DataFrame:
+    """Organizations on or below a cycle of parents: those that no walk down from a root, or from a row whose parent is missing, meets.
+
+    A recursive query; a hierarchy deeper than spark.sql.cteRecursionLevelLimit (100 unless set) is an error, not a wrong result.
+    """
+    met = organizations.sparkSession.sql(
+        """WITH RECURSIVE down(id) AS (
+             SELECT o.id FROM {organizations} o LEFT ANTI JOIN {organizations} p ON o.parent_id = p.id
+             UNION ALL SELECT o.id FROM {organizations} o JOIN down ON o.parent_id = down.id
+           ) SELECT id FROM down""",
+        organizations=organizations,
+    )
+    return violations(organizations.join(met, "id", "left_anti"), rule_id, "id", F.concat(F.lit("parent="), F.col("parent_id")))
+
+
+def several_brands(link_brands: DataFrame, links: DataFrame, rule_id: str = "one_brand") -> DataFrame:
+    """Locations whose links name more than one brand, with the number of brands."""
+    at = link_brands.join(links.select(F.col("id").alias("location_business_entity_id"), "location_id"), "location_business_entity_id")
+    n = at.groupBy("location_id").agg(F.countDistinct("brand_id").alias("__n")).filter("__n > 1")
+    return violations(n, rule_id, "location_id", F.concat(F.lit("brands="), F.col("__n")))

@@ -27,6 +27,7 @@ class Table:
     unique: tuple[tuple[str, ...], ...] = ()
     references: tuple[Reference, ...] = ()
     domains: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    hidden: tuple[str, ...] = ()
 
     @property
     def struct(self) -> StructType:
@@ -86,6 +87,7 @@ TABLES = {
         unique=(("company_id", "brand_id"),),
         references=(Reference("company_id", "companies"), Reference("brand_id", "brands")),
     ),
+    "users": Table("id long, name string, email string, password string, remember_token string" + TIMES, unique=(("email",),), hidden=("password", "remember_token")),
     "user_organizations": Table(
         "id long, user_id long, organization_id long" + TIMES, unique=(("user_id", "organization_id"),), references=(Reference("organization_id", "organizations"),)
     ),

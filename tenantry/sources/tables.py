@@ -59,3 +59,8 @@ def first_or_create(current: DataFrame, wanted: DataFrame, match: list[str]) ->
 
 def has_columns(df: DataFrame, *names: str) -> bool:
     return set(names) <= set(df.columns)
+
+
+def visible(df: DataFrame, name: str) -> DataFrame:
+    """A table's rows as they may be shown: without its hidden columns."""
+    return df.drop(*TABLES[name].hidden)
