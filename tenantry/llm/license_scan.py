@@ -179,10 +179,10 @@ def fit_licences(corpus: list[str], penalty: float = 3e-4, steps: int = 1500, co
     used = np.abs(w).max(1) > 0
     weights = {g: tuple(np.round(w[i], 6).tolist()) for g, i in at.items() if used[i]}
     bias = np.round(b, 6)
-    # anchors: without them no class can come up to none
+    # anchors: without them all other classes together stay below none
     over = {g: np.maximum(np.array(v[:-1]) - v[-1], 0) for g, v in weights.items()}
     gap, anchors = bias[-1] - bias[:-1], []
-    while over and (left := sum(over.values()) - gap).max() >= 0:
+    while over and np.exp(np.minimum((left := sum(over.values()) - gap) / temperature, 50)).sum() >= 1:
         c = int(left.argmax())
         gain: dict[str, float] = {}
         for g, v in over.items():
@@ -197,6 +197,19 @@ def fit_licences(corpus: list[str], penalty: float = 3e-4, steps: int = 1500, co
     return LicenceModel(classes, tuple(bias.tolist()), weights, tuple(sorted(anchors)), temperature, least)
 
 
+def notice_templates() -> dict[str, list[dict[str, list[str]]]]:
+    """Per family and notice: its word pairs, those that no other family's notice has, and its version numbers."""
+    split = {name: [tokens(t) for t in notices] for name, notices in {**NOTICES, UNKNOWN_CLASS: UNKNOWN}.items()}
+    pairs = {name: [{g for g in grams(w) if " " in g} for w in each] for name, each in split.items()}
+    found: dict[str, list[dict[str, list[str]]]] = {}
+    for name in NOTICES:
+        elsewhere = set().union(*(p for other, each in pairs.items() if other != name for p in each))
+        found[name] = [
+            {"pairs": sorted(p), "own": sorted(p - elsewhere), "versions": sorted({t for t in w if re.fullmatch(r"[0-9]+(\.[0-9]+)*", t)})} for p, w in zip(pairs[name], split[name], strict=True)
+        ]
+    return found
+
+
 def _constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), F.lit(kind))
 
@@ -217,7 +230,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
     anchor = "(?<![a-z0-9])(?:" + "|".join(f"{k}(?:{'|'.join(map(re.escape, v))})" for k, v in by_letter.items()) + ")(?![a-z0-9])" if by_letter else ""
     weights = _constant({g: list(v) for g, v in model.weights.items()}, "map<string,array<double>>")
     zero = F.array(*[F.lit(0.0)] * n)
-    templates = _constant({k: [sorted(g for g in grams(tokens(t)) if " " in g) for t in v] for k, v in NOTICES.items()}, "map<string,array<array<string>>>")
+    templates = _constant(notice_templates(), "map<string,array<struct<pairs:array<string>,own:array<string>,versions:array<string>>>>")
     lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     reach = max(len(tokens(t)) for v in NOTICES.values() for t in v)
 
@@ -237,8 +250,12 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
         return F.struct(s["position"].alias("position"), s["grams"].alias("grams"), F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
     def share_held(template: Column, grams: Column, own: Column | None) -> Column:
-        share = F.size(F.array_intersect(template, grams)) / F.size(template)
-        return share if own is None else F.when(F.size(F.array_intersect(template, own)) >= 2, share).otherwise(0.0)
+        """The share of a notice's pairs that are held: 0 if one of its versions or most of the pairs that only its family has are missing."""
+        share = F.size(F.array_intersect(template["pairs"], grams)) / F.size(template["pairs"])
+        fits = (F.size(F.array_except(template["versions"], grams)) == 0) & (2 * F.size(F.array_intersect(template["own"], grams)) >= F.size(template["own"]))
+        if own is not None:
+            fits &= F.size(F.array_intersect(template["pairs"], own)) >= 2
+        return F.when(fits, share).otherwise(0.0)
 
     def judged(s: Column, own: Column | None = None) -> Column:
         """struct(position, grams, p) to the verdict; with grams of its own, a template counts if two of its pairs are among them."""
@@ -292,16 +309,17 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
     return out.withColumn("licences", F.coalesce(found, empty)).drop("__found", "__lines", "__sure")
 
 
-def fit_on(docs: DataFrame, max_docs: int = 300, max_paragraphs: int = 1500, max_chars: int = 20_000, text_col: str = "text") -> LicenceModel:
-    """Train with paragraphs of the ``max_docs`` distinct texts with the smallest hash, ``max_chars`` characters of each.
+def fit_on(docs: DataFrame, max_paragraphs: int = 1500, max_chars: int = 2_000, text_col: str = "text") -> LicenceModel:
+    """Train with the ``max_paragraphs`` distinct paragraphs with the smallest hash among all of whole texts.
 
-    Only hashes are sorted; the bounds keep what the driver gets small, whatever the input's size.
+    Paragraphs of more than ``max_chars`` characters are not drawn; only hashes are sorted. The bounds keep what the
+    driver gets small, whatever the input's size.
     """
-    hashed = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.substring(text_col, 1, max_chars).alias("t"))
-    last = hashed.select("h").distinct().orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    paragraphs = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.split(text_col, "\n", -1)).alias("t"))
+    hashed = paragraphs.filter((F.btrim("t") != "") & (F.length("t") <= max_chars)).select(F.xxhash64("t").alias("h"), "t")
+    last = hashed.select("h").distinct().orderBy("h").limit(max_paragraphs).agg(F.max("h")).first()[0]
     sample = [] if last is None else hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t")).collect()
-    paragraphs = sorted({p for r in sample for p in r["t"].split("\n") if p.strip()}, key=lambda p: (zlib.crc32(p.encode("utf-8", "surrogatepass")), p))
-    return fit_licences(paragraphs[:max_paragraphs])
+    return fit_licences(sorted((r["t"] for r in sample), key=lambda p: (zlib.crc32(p.encode("utf-8", "surrogatepass")), p)))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,16 @@ def test_licences_find_wrapped_notices(spark, licence_model):
     assert [(x["position"], x["label"]) for x in found] == [(0, "Apache-2.0"), (1, "unknown")]
 
 
+def test_licences_tell_versions_and_names_apart(spark, licence_model):
+    """Near notices of other licences are confirmed as none of the families; other wordings of the families' are."""
+    near = ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the Eclipse Public License, version 2.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."]
+    found = license_scan.scan_licences(spark.createDataFrame([(n,) for n in near], "text string"), licence_model).collect()
+    assert not [r for r in found if any(x["confirmed"] for x in r["licences"])]
+    right = {"GPL-3.0": "This project is licensed under the GNU General Public License, version 3, by its authors.", "MPL-2.0": "All of it is licensed under the Mozilla Public License, version 2.0, as before.", "Apache-2.0": "The tool is licensed under the Apache License, Version 2.0 since May."}
+    found = license_scan.scan_licences(spark.createDataFrame(list(right.items()), "name string, text string"), licence_model).collect()
+    assert all([x["label"] for x in r["licences"] if x["confirmed"]] == [r["name"]] for r in found)
+
+
 def test_licences_anchor_gate_changes_nothing(spark, docs, licence_model):
     from dataclasses import replace
 
