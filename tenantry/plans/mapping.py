@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import TABLES
+
 #: Added to supplier keys, so that entity ids of companies and contractors differ.
 SUPPLIER_BASE = 1_000_000_000
 
@@ -22,6 +24,15 @@ class Domain:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def state(self, *names: str) -> dict[str, DataFrame]:
+        """The state that commands take: the named tables with all declared columns (null where the test data lack them), the others empty."""
+
+        def full(name: str) -> DataFrame:
+            df = getattr(self, name)()
+            return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].struct])
+
+        return {n: full(n) if n in names else self.spark.createDataFrame([], t.struct) for n, t in TABLES.items()}
+
     def tenants(self) -> DataFrame:
         return self.raw("region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"), F.lower("r_name").alias("slug"))
 
@@ -80,7 +91,9 @@ class Domain:
         return five.select((F.col("id") * 10 + F.col("i")).alias("id"), "tenant_id", at.alias("location_id"), F.concat_ws("-", F.lit("region"), "id", "i").alias("name"))
 
     def users(self) -> DataFrame:
-        return self.raw("events").select(F.col("user_id").alias("id")).distinct()
+        """One for each user of the events, with a made-up secret to hide."""
+        ids = self.raw("events").select(F.col("user_id").cast("long").alias("id")).distinct()
+        return ids.select("id", F.concat(F.lit("user-"), "id").alias("name"), F.sha2(F.col("id").cast("string"), 256).alias("password"), F.lit("t").alias("remember_token"))
 
     def user_roles(self) -> DataFrame:
         return self.raw("events").select(F.col("user_id").alias("model_id"), F.col("event_type").alias("role")).distinct()

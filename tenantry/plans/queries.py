@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..context import TenantContext, scope
 from ..functions import columns as C
 from ..operators import reconcile, referential, relations, rules
+from ..sources.tables import visible
+from . import commands
 from .mapping import SUPPLIER_BASE, Domain
 
 CTX = TenantContext(1)
@@ -170,7 +172,7 @@ def logo_url_derivation(d: Domain) -> DataFrame:
 
 @query("SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase'")
 def role_members(d: Domain) -> DataFrame:
-    return relations.where_has(d.users(), d.user_roles(), "id", "model_id", F.col("role") == "purchase")
+    return relations.where_has(d.users(), d.user_roles(), "id", "model_id", F.col("role") == "purchase").select("id")
 
 
 @query("SELECT user_id AS id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS roles FROM events GROUP BY user_id")
@@ -361,3 +363,116 @@ def set_null_effect(d: Domain) -> DataFrame:
 def validation_failures(d: Domain) -> DataFrame:
     checks = {"alpha_dash": C.alpha_dash(F.col("c_name")), "in": C.one_of(F.col("c_mktsegment"), "BUILDING", "AUTOMOBILE"), "max": C.max_length(F.col("c_name"), 17)}
     return d.raw("customer").select(F.col("c_custkey").alias("id"), F.array_join(C.failures(checks), ",").alias("broken"))
+
+
+# commands: the rows of the new state and the violations
+
+
+def _outcome(result: commands.Result, **tables: str) -> DataFrame:
+    """(part, id, value): for each named table one column of its new rows, and the violations as part broken."""
+    new, found = result
+    parts = [new[t].select(F.lit(t).alias("part"), "id", F.col(c).cast("string").alias("value")) for t, c in tables.items()]
+    parts.append(found.select(F.lit("broken").alias("part"), F.col("entity_id").alias("id"), F.col("rule_id").alias("value")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_LINKED = ("locations", "business_entities", "contractors", "companies", "operational_regions", "location_business_entities")
+_ONE = f"business_entity_id = {SUPPLIER_BASE + 1}"
+
+
+@query(f"SELECT 'contractors' AS part, id, CASE WHEN id = 1 THEN 'temporary' ELSE contractor_type END AS value FROM con UNION ALL SELECT 'business_entities', id, CASE WHEN id = {SUPPLIER_BASE + 1} THEN 'renamed' ELSE name END FROM ent", "con", "ent")
+def update_contractor(d: Domain) -> DataFrame:
+    state = d.state("tenants", "business_entities", "contractors")
+    return _outcome(commands.update_contractor(state, 1, "renamed", "temporary"), contractors="contractor_type", business_entities="name")
+
+
+@query(f"SELECT 'contractors' AS part, id, contractor_type AS value FROM con WHERE id <> 1 UNION ALL SELECT 'business_entities', id, name FROM ent WHERE id <> {SUPPLIER_BASE + 1} UNION ALL SELECT 'location_business_entities', id, nace_code FROM lbe WHERE NOT {_ONE}", "con", "ent", "lbe")
+def delete_contractor(d: Domain) -> DataFrame:
+    gone = commands.delete_contractor(d.state(*_LINKED), None, 1)
+    return _outcome(gone, contractors="contractor_type", business_entities="name", location_business_entities="nace_code")
+
+
+@query(f"SELECT 'location_business_entities' AS part, id, CASE WHEN {_ONE} AND location_id = 3 THEN 34 ELSE operational_region_id END::VARCHAR AS value FROM lbe UNION ALL SELECT 'broken', id, 'region_of_location' FROM lbe WHERE {_ONE} AND location_id = 3 UNION ALL SELECT 'broken', lbe.id, 'permanent_contractor' FROM lbe JOIN con USING (business_entity_id) WHERE {_ONE} AND location_id = 3 AND contractor_type = 'temporary'", "con", "lbe")
+def update_location_link(d: Domain) -> DataFrame:
+    changes = {"nace_code": "NEW", "operational_region_id": 34}
+    return _outcome(commands.update_link(d.state(*_LINKED), 3, SUPPLIER_BASE + 1, changes), location_business_entities="operational_region_id")
+
+
+@query(f"SELECT 'location_business_entities' AS part, id, nace_code AS value FROM lbe WHERE NOT ({_ONE} AND location_id = 3)", "lbe")
+def detach_location_link(d: Domain) -> DataFrame:
+    return _outcome(commands.unlink_entity(d.state(*_LINKED), 3, SUPPLIER_BASE + 1), location_business_entities="nace_code")
+
+
+@query("SELECT 'organization_companies' AS part, id, organization_id::VARCHAR AS value FROM new UNION ALL SELECT 'broken', id, 'organization_companies.business_entity_id.unique' FROM new WHERE business_entity_id = 5 AND id > (SELECT min(id) FROM new WHERE business_entity_id = 5) UNION ALL SELECT 'broken', -1, 'group_company' FROM org, ent WHERE org.id = 3 AND ent.id = 5 AND org.tenant_id <> ent.tenant_id", "oc", "org", "ent")
+def attach_group_company(d: Domain) -> DataFrame:
+    state = d.state("organizations", "business_entities", "organization_companies")
+    return _outcome(commands.attach_group_company(state, -1, 3, 5), organization_companies="organization_id")
+
+
+SQL["attach_group_company"] = SQL["attach_group_company"].replace(_CTE["oc"], f"{_CTE['oc']}, new AS (SELECT id, organization_id, business_entity_id FROM oc UNION ALL SELECT -1, 3, 5 WHERE NOT EXISTS (SELECT 1 FROM oc WHERE organization_id = 3 AND business_entity_id = 5))")
+
+
+@query("SELECT 'organization_companies' AS part, id, organization_id::VARCHAR AS value FROM oc WHERE NOT (organization_id = 1 AND business_entity_id = 4) UNION ALL SELECT 'broken', NULL, 'group_company' FROM org, ent WHERE org.id = 1 AND ent.id = 4 AND org.tenant_id <> ent.tenant_id", "oc", "org", "ent")
+def detach_group_company(d: Domain) -> DataFrame:
+    state = d.state("organizations", "business_entities", "organization_companies")
+    return _outcome(commands.detach_group_company(state, 1, 4), organization_companies="organization_id")
+
+
+@query("SELECT 'operational_regions' AS part, id, CASE WHEN id = 11 THEN 'renamed' ELSE name END AS value FROM reg", "reg")
+def update_region(d: Domain) -> DataFrame:
+    state = d.state("tenants", "locations", "operational_regions")
+    return _outcome(commands.update_region(state, CTX, 1, 11, {"name": "renamed"}), operational_regions="name")
+
+
+@query("SELECT 'operational_regions' AS part, id, name AS value FROM reg WHERE id <> 14 UNION ALL SELECT 'location_business_entities', id, CASE WHEN operational_region_id <> 14 THEN operational_region_id END::VARCHAR FROM lbe UNION ALL SELECT 'broken', 14, 'region_of_location'", "reg", "lbe")
+def delete_region(d: Domain) -> DataFrame:
+    """Region 14 is booked on location 2."""
+    return _outcome(commands.delete_region(d.state(*_LINKED), CTX, 1, 14), operational_regions="name", location_business_entities="operational_region_id")
+
+
+@query("SELECT 'operational_regions' AS part, id, name AS value FROM reg UNION ALL SELECT 'operational_regions', -5, 'lost' UNION ALL SELECT 'broken', -5, 'operational_regions.location_id.exists'", "reg")
+def create_region_nowhere(d: Domain) -> DataFrame:
+    state = d.state("tenants", "locations", "operational_regions")
+    return _outcome(commands.create_region(state, 999, id=-5, name="lost", type="office"), operational_regions="name")
+
+
+@query("SELECT 'locations' AS part, id, CASE WHEN id = 0 THEN 'moved' ELSE name END AS value FROM loc UNION ALL SELECT 'broken', 0, 'locations.tenant'", "loc")
+def update_other_tenants_location(d: Domain) -> DataFrame:
+    return _outcome(commands.update_location(d.state("tenants", "locations"), CTX, 0, {"name": "moved", "tenant_id": 1}), locations="name")
+
+
+@query("SELECT 'companies' AS part, id, 'corporate' AS value FROM com", "com")
+def bulk_update(d: Domain) -> DataFrame:
+    state = d.state("business_entities", "companies")
+    return _outcome(commands.update_where(state, "companies", F.col("company_type") == "individual", {"company_type": "corporate"}), companies="company_type")
+
+
+@query("SELECT 'locations' AS part, id, name AS value FROM loc WHERE tenant_id <> 3 UNION ALL SELECT 'location_business_entities', lbe.id, nace_code FROM lbe JOIN loc ON loc.id = location_id WHERE tenant_id <> 3", "loc", "lbe")
+def bulk_delete(d: Domain) -> DataFrame:
+    state = d.state("locations", "location_business_entities")
+    return _outcome(commands.delete_where(state, "locations", F.col("tenant_id") == 3), locations="name", location_business_entities="nace_code")
+
+
+@query("SELECT 'organizations' AS part, id, CASE WHEN id = 1001 THEN 'renamed' ELSE name END AS value FROM org", "org")
+def rename_root(d: Domain) -> DataFrame:
+    state = d.state("tenants", "organizations")
+    return _outcome(commands.update_organization(state, CTX, 1001, {"name": "renamed"}), organizations="name")
+
+
+@_rule("no_cycle", "SELECT id AS entity_id, 'parent=' || CASE id WHEN 3 THEN 4 ELSE 3 END AS detail FROM org WHERE id IN (3, 4, 5)", "org")
+def organization_cycles(d: Domain) -> DataFrame:
+    """3 and 4 are made each other's parent, 5 lies below them."""
+    parent = F.when(F.col("id") == 3, 4).when(F.col("id").isin(4, 5), 3).otherwise(F.col("parent_id"))
+    return rules.endless_parents(d.organizations().withColumn("parent_id", parent))
+
+
+@_rule("one_brand", "SELECT location_id AS entity_id, 'brands=' || count(DISTINCT 11 + business_entity_id % 45) AS detail FROM lbe GROUP BY location_id HAVING count(DISTINCT 11 + business_entity_id % 45) > 1", "lbe")
+def brands_per_location(d: Domain) -> DataFrame:
+    links = d.location_business_entities()
+    brands = links.select(F.col("id").alias("location_business_entity_id"), (11 + F.col("business_entity_id") % 45).alias("brand_id"))
+    return rules.several_brands(brands, links)
+
+
+@query("SELECT DISTINCT user_id::BIGINT AS id, 'user-' || user_id AS name FROM events")
+def visible_users(d: Domain) -> DataFrame:
+    return visible(d.users(), "users")

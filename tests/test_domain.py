@@ -92,6 +92,34 @@ def test_regions_contractors_and_deletes(state):
     assert cmd.remove(state, "locations", 6)[0]["operational_regions"].isEmpty()
 
 
+def test_old_faults_block_no_command(state):
+    two = state | {"organizations": state["organizations"].unionByName(cmd.row(state, "organizations", id=8, tenant_id=1, name="second root"))}
+    assert broken(cmd.update_organization(two, CTX, 1, {"name": "new"})) == []
+    assert broken(cmd.update_organization(two, CTX, 2, {"parent_id": None})) == ["single_root"]
+
+
+def test_contractors_and_regions_change(state):
+    assert broken(cmd.update_contractor(state, 1, "n", "permanent")) == [] and broken(cmd.update_contractor(state, 1, "n", "odd")) == ["contractors.contractor_type.in"]
+    assert broken(cmd.create_region(state, 99, id=8, name="r", type="office")) == ["operational_regions.location_id.exists"]
+    assert broken(cmd.update_region(state, CTX, 5, 7, {"name": "n"})) == ["region_of_location"] and broken(cmd.delete_region(state, TenantContext(2), 6, 7)) == ["locations.tenant"]
+
+
+def test_links_change_with_their_brands(state):
+    linked = cmd.link_entity(state, [(1, 1)], id=1, location_id=5, business_entity_id=10)[0]
+    assert broken(cmd.update_link(linked, 5, 10, {"nace_code": "x"}, [(2, 1)])) == []
+    assert broken(cmd.update_link(linked, 5, 10, {"operational_region_id": 7}, [(2, 9)])) == ["brand_of_company", "location_business_entity_brands.brand_id.exists", "region_of_location"]
+    assert "link_exists" in broken(cmd.update_link(linked, 6, 10, {}, []))
+    gone = cmd.unlink_entity(linked, 5, 10)[0]
+    assert gone["location_business_entities"].isEmpty() and gone["location_business_entity_brands"].isEmpty()
+
+
+def test_timestamps(state):
+    new = cmd.create_location(state, CTX, id=9, name="l", tenant_id=2)[0]
+    old = new["locations"].filter("id = 9").first()
+    again = cmd.update_location(new, CTX, 9, {"name": "m", "tenant_id": 2})[0]["locations"].filter("id = 9").first()
+    assert old["tenant_id"] == again["tenant_id"] == 1 and old["created_at"] == again["created_at"] and old["updated_at"] < again["updated_at"]
+
+
 def test_onboarding_and_snapshots(state, spark, tmp_path):
     ids = {"tenant": 3, "organization": 40, "entity": 41, "company": 42, "link": 43, "location": 44}
     args = {"tenant": {"name": "C", "slug": "c"}, "organization": {"name": "o"}, "company": {"name": "c", "company_type": "corporate"}, "location": {"name": "l"}}
