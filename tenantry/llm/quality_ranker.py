@@ -5,8 +5,9 @@ probability that a is preferred to b is the logistic function of the difference
 come from logistic loss on feature differences. The cut is the quantile of the training scores that separates the
 labels best; scores are shifted so that the cut becomes 0.7 and squashed into 0..1.
 
-Features are DataFrame expressions over whole texts, computed next to the scan; scoring needs no shuffle. The
-weights are fitted on the driver from a bounded sample of labelled rows (``max_rows`` feature vectors).
+Features are statistics of the text and hashed words and word pairs: each bucket counts its share of them, drawn to
+nothing where a text has few. They are DataFrame expressions over whole texts, computed next to the scan; scoring
+needs no shuffle. The weights are fitted on the driver from a bounded sample of labelled rows (``max_rows`` vectors).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .common import LOWER, UPPER, table, whole_row, words
 CUT = 0.7
 #: Standard deviations beyond which a feature counts no more, in training and in scoring.
 CLIP = 8.0
+#: Buckets of hashed words and word pairs; a text's share of a bucket is its count / (all its words and pairs + PRIOR).
+BUCKETS, PRIOR = 256, 50.0
 NAMES = ("length", "symbols", "marks", "capitals", "digits", "adjacent", "distinct", "word_length", "lines")
 
 
@@ -50,12 +54,23 @@ def feature_columns(text: Column, w: Column, lines: Column) -> dict[str, Column]
     }
 
 
+def gram_buckets(w: Column) -> Column:
+    """The buckets of all words and of all pairs of neighbours, repeats included."""
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)))
+    return F.concat(F.transform(w, lambda a: F.pmod(F.xxhash64(a), F.lit(BUCKETS))), pairs)
+
+
+def gram_shares(buckets: pd.Series) -> pd.Series:
+    """Each text's shares of all buckets, as the bytes of half-precision numbers."""
+    return buckets.map(lambda b: (np.bincount(np.asarray(b, int), minlength=BUCKETS) / (len(b) + PRIOR)).astype(np.float16).tobytes())
+
+
 def with_features(docs: DataFrame, text_col: str, out: str) -> DataFrame:
-    """The columns of docs in the struct ``row``, and the array column ``out`` of the features in the order of NAMES."""
+    """The columns of docs in the struct ``row``, the array column ``out`` of the features in the order of NAMES, and ``grams``, the buckets."""
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select(whole_row(docs), F.col(text_col).alias("text")).withColumns({"words": words(text), "lines": F.filter(F.split(text, "\n", -1), lambda x: x != "")})  # once for all features
     f = feature_columns(text, F.col("words"), F.col("lines"))
-    return split.select("row", F.array(*[f[name].cast("double") for name in NAMES]).alias(out))
+    return split.select("row", F.array(*[f[name].cast("double") for name in NAMES]).alias(out), gram_buckets(F.col("words")).alias("grams"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,37 +80,47 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Ranker:
-    """score = squash(weights . clip((x - mean) / scale) + offset); x are features in the order of NAMES."""
+    """score = squash(weights . clip((x - mean) / scale) + grams . shares + offset); x are features in the order of NAMES."""
 
     weights: tuple[float, ...]
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     offset: float
     quantile: float
+    grams: tuple[float, ...]
 
-    def score(self, features: Column) -> Column:
+    def score(self, features: Column, buckets: Column) -> Column:
         z = [(F.get(features, i) - m) / s for i, (m, s) in enumerate(zip(self.mean, self.scale, strict=True))]
         terms = [F.least(F.greatest(v, F.lit(-CLIP)), F.lit(CLIP)) * w for v, w in zip(z, self.weights, strict=True)]
         raw = F.lit(self.offset)
         for t in terms:
             raw = raw + t
+        weights = F.array(*[F.lit(g) for g in self.grams])
+        raw = raw + F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(weights, b.cast("int"))) / (F.size(buckets) + PRIOR)
         return 1.0 / (1.0 + F.exp(-F.least(F.greatest(raw, F.lit(-500.0)), F.lit(500.0))))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, steps: int = 300, l2: float = 1e-3, seed: int = 11) -> Ranker:
-    """Fit on feature rows x with labels y (1 is preferred to 0). Without both labels every score is the cut."""
+def fit_pairs(x: np.ndarray, y: np.ndarray, shares: np.ndarray | None = None, pairs: int = 60_000, steps: int = 300, l2: float = 1e-3, l2_grams: float = 1e-2, seed: int = 11) -> Ranker:
+    """Fit on feature rows x with labels y (1 is preferred to 0) and gram shares. Without both labels every score is the cut.
+
+    Weights of grams pay a penalty of their own, so that words seen in few texts decide little.
+    """
     d = x.shape[1]
+    shares = np.zeros((len(x), BUCKETS), np.float32) if shares is None else shares
     if not (y == 1).any() or not (y == 0).any():
-        return Ranker((0.0,) * d, (0.0,) * d, (1.0,) * d, float(np.log(CUT / (1 - CUT))), 0.0)
+        return Ranker((0.0,) * d, (0.0,) * d, (1.0,) * d, float(np.log(CUT / (1 - CUT))), 0.0, (0.0,) * BUCKETS)
     mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = np.clip((x - mean) / scale, -CLIP, CLIP)
+    spread = float(np.sqrt(shares.var(0).mean())) + 1e-4
+    z = np.hstack([np.clip((x - mean) / scale, -CLIP, CLIP), shares / spread]).astype(np.float32)
+    penalty = np.repeat([l2, l2_grams], [d, BUCKETS])
     rng = np.random.default_rng(seed)
     good, bad = rng.choice(np.flatnonzero(y == 1), pairs), rng.choice(np.flatnonzero(y == 0), pairs)
-    diff = z[good] - z[bad]
-    w, m, v = np.zeros(d), np.zeros(d), np.zeros(d)
-    for t in range(1, steps + 1):  # Adam on the mean logistic loss of the differences
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -50, 50)))
-        g = -(diff * p[:, None]).mean(0) + l2 * w
+    w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
+    for t in range(1, steps + 1):  # Adam on the mean logistic loss of the pairs' differences
+        raw = z @ w.astype(np.float32)
+        p = 1 / (1 + np.exp(np.clip(raw[good] - raw[bad], -50, 50)))
+        pull = np.bincount(good, p, len(z)) - np.bincount(bad, p, len(z))  # each row's share of the pairs not yet in order
+        g = -(pull.astype(np.float32) @ z) / pairs + penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     raw = z @ w
@@ -109,7 +134,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, steps: int = 30
         cut, quantile = s[0], 0.0
     else:
         cut, quantile = (s[best] + s[best + 1]) / 2, (best + 1) / len(s)
-    return Ranker(tuple(w.tolist()), tuple(mean.tolist()), tuple(scale.tolist()), float(np.log(CUT / (1 - CUT)) - cut), quantile)
+    return Ranker(tuple(w[:d].tolist()), tuple(mean.tolist()), tuple(scale.tolist()), float(np.log(CUT / (1 - CUT)) - cut), quantile, tuple((w[d:] / spread).tolist()))
 
 
 def fit_ranker(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
@@ -129,10 +154,12 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_co
     )
     # at most max_rows ids and labels of 12 bytes each
     sample = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    rows = with_features(sample, "__text", "__x").select("__x", "row.__y", "row.__doc", F.xxhash64("row.__text").alias("__h"))
-    rows = rows.orderBy(F.xxhash64("__doc"), "__doc", "__h").limit(max_rows).select("__x", "__y").toPandas()
+    shares = F.pandas_udf(gram_shares, "binary")
+    rows = with_features(sample, "__text", "__x").select("__x", shares("grams").alias("__shares"), "row.__y", "row.__doc", F.xxhash64("row.__text").alias("__h"))
+    rows = rows.orderBy(F.xxhash64("__doc"), "__doc", "__h").limit(max_rows).select("__x", "__shares", "__y").toPandas()
     x = np.array(rows["__x"].tolist(), float).reshape(len(rows), len(NAMES))
-    return fit_pairs(x, rows["__y"].to_numpy(int) if len(rows) else np.zeros(0, int))
+    grams = np.frombuffer(b"".join(rows["__shares"]), np.float16).astype(np.float32).reshape(len(rows), BUCKETS)
+    return fit_pairs(x, rows["__y"].to_numpy(int) if len(rows) else np.zeros(0, int), grams)
 
 
 def score_documents(docs: DataFrame, ranker: Ranker, text_col: str = "text", threshold: float = CUT) -> DataFrame:
@@ -141,7 +168,7 @@ def score_documents(docs: DataFrame, ranker: Ranker, text_col: str = "text", thr
     Null and empty texts are scored as texts without words. Repeated rows get equal scores. Other columns pass through
     whatever their names. Whole texts are read, however long.
     """
-    scored = with_features(docs, text_col, "x").select("row", ranker.score(F.col("x")).alias("score"))
+    scored = with_features(docs, text_col, "x").select("row", ranker.score(F.col("x"), F.col("grams")).alias("score"))
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("score", "predicted")]
     return scored.select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
