@@ -85,22 +85,24 @@ def _fold(members: Column, seed: int) -> Column:
 
 
 def mix_copies(sizes: DataFrame, targets: DataFrame, seed: int = 17, block: int = 64) -> DataFrame:
-    """Copies for each unit of equal rows: (source, doc_id, size, rows, copies), copies being the total of the unit's rows.
+    """Copies for each unit of equal rows: (the columns of sizes, rows, copies), copies being the total of the unit's rows.
 
-    ``sizes`` has (source, doc_id, size). Rows equal in all three are one unit, which takes the whole part of its
-    expected copies and rounds one fraction; so a repeated row is no hot spot. Units of size 0 take the whole part.
+    ``sizes`` has (source, doc_id, size) and, where rows of one id are to be told apart, ``twin``. Rows equal in all of
+    these are one unit, which takes the whole part of its expected copies and rounds one fraction; so a repeated row is
+    no hot spot. Units of size 0 take the whole part.
     """
-    units = sizes.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("rows"))
+    keys = ["source", "doc_id", "size", *(c for c in sizes.columns if c == "twin")]
+    units = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     goal = targets.select(F.col("source").alias("__source"), "source_size", "n_docs", "target")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("rows")
     units = (
         units.join(goal, F.col("source").eqNullSafe(F.col("__source")))
         .withColumn("whole", F.floor(expected))
         .withColumn("mass", (expected - F.floor(expected)) * F.col("size"))
-        .withColumn("k1", F.xxhash64("source", "doc_id", "size"))
-        .withColumn("k2", F.xxhash64(F.lit(5), "source", "doc_id", "size"))
-        .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
-        .select("source", "doc_id", "size", "rows", "whole", "mass", "k1", "k2", "h", F.ceil(F.col("n_docs") / block).alias("blocks"))
+        .withColumn("k1", F.xxhash64(*keys))
+        .withColumn("k2", F.xxhash64(F.lit(5), *keys))
+        .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", *keys[2:]))
+        .select(*keys, "rows", "whole", "mass", "k1", "k2", "h", F.ceil(F.col("n_docs") / block).alias("blocks"))
     )
     scratch = Scratch(sizes.sparkSession)
     units = scratch.write(units)
@@ -121,7 +123,7 @@ def mix_copies(sizes: DataFrame, targets: DataFrame, seed: int = 17, block: int
     last = folded.filter(F.col("f.open").isNotNull()).select("f.open.*")
     done = done.unionByName(last.select("k1", "k2", (uniform(F.col("h"), seed=seed + 1) * F.col("size") < F.col("mass")).alias("up")))
     return units.join(done, ["k1", "k2"], "left").select(
-        "source", "doc_id", "size", "rows", (F.col("whole") + F.coalesce(F.col("up"), F.lit(False)).cast("long")).alias("copies")
+        *keys, "rows", (F.col("whole") + F.coalesce(F.col("up"), F.lit(False)).cast("long")).alias("copies")
     )
 
 
@@ -129,27 +131,27 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, part: int = 1000) -> DataFrame:
     """docs with each row repeated as often as the mix takes it (0, 1 or 2 times), with the same columns.
 
-    Null texts have size 0 and null sources are one source. Rows equal in source, id and size share their copies
-    in the order of their text, the first taking one more where the total does not divide. Other columns pass through
+    Null texts have size 0 and null sources are one source. Rows equal in all columns share their copies: they are
+    kept once, with the number of all their copies, and more than ``part`` copies are made in parts that are dealt
+    over all tasks. Rows that only share source, id and size are rounded each for itself. Other columns pass through
     whatever their names. Whole texts are read, however long.
     """
     # the input's columns lie in one struct, so that none clashes with those made here
-    sized = docs.select(whole_row(docs), "source", "doc_id", "text", word_count(F.col("text")).alias("size"))
+    sized = docs.select(whole_row(docs), "source", "doc_id", word_count(F.col("text")).alias("size"))
+    content = F.to_json("row") if "map<" in docs.schema.simpleString() else F.col("row")  # maps have no hash
+    sized = sized.withColumn("twin", F.struct(F.xxhash64(content).alias("a"), F.xxhash64(F.lit(seed), content).alias("b")))
     scratch = Scratch(docs.sparkSession)
-    sizes = scratch.write(sized.select("source", "doc_id", "size"))
-    units = mix_copies(sizes, scratch.write(source_targets(sizes)), seed).select(
-        F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), "rows", "copies"
-    )
-    joined = sized.join(units, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z")))
-    rank = F.row_number().over(Window.partitionBy("source", "doc_id", "size").orderBy("text"))
-    alone = joined.filter(F.col("rows") == 1).select("row", F.col("copies").alias("n"))
-    extra = (rank <= F.col("copies") % F.col("rows")).cast("long")
-    more = joined.filter(F.col("rows") > 1).select("row", (F.floor(F.col("copies") / F.col("rows")) + extra).alias("n"))
-    both = alone.unionByName(more).filter(F.col("n") > 0)
-    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
+    sizes = scratch.write(sized.select("source", "doc_id", "size", "twin"))
+    taken = mix_copies(sizes, scratch.write(source_targets(sizes)), seed).filter(F.col("copies") > 0).select(F.col("twin").alias("t"), F.col("doc_id").alias("d"), F.col("size").alias("z"), F.col("source").alias("s"), "copies")
+    once = sized.dropDuplicates(["source", "doc_id", "size", "twin"])
+    joined = once.join(taken, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("z")) & (F.col("twin") == F.col("t")))
+    few = joined.filter(F.col("copies") <= part).select("row", F.col("copies").alias("n"))
+    parts = joined.filter(F.col("copies") > part).select("row", "twin", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / part))).alias("i"))
+    many = parts.repartition("twin", "i").select("row", F.least(F.lit(part).cast("long"), F.col("copies") - F.col("i") * part).alias("n"))
+    return few.unionByName(many).select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
