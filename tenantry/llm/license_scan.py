@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, table, whole_row
 
 # Notices by which licences are declared, per family.
 NOTICES = {
@@ -222,7 +222,8 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
     without words or one that is confirmed, as many words each way as the longest notice has. It gets a family
     if these together hold one of the family's notices and it holds two word pairs of that notice itself.
 
-    Null and empty texts have an empty array. Repeated rows get equal results. Whole texts are read, however long.
+    Null and empty texts have an empty array. Repeated rows get equal results. Other columns pass through whatever
+    their names. Whole texts are read, however long.
     """
     n = len(model.classes)
     families = n - 2
@@ -231,7 +232,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
     weights = _constant({g: list(v) for g, v in model.weights.items()}, "map<string,array<double>>")
     zero = F.array(*[F.lit(0.0)] * n)
     templates = _constant(notice_templates(), "map<string,array<struct<pairs:array<string>,own:array<string>,versions:array<string>>>>")
-    lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    lowered, text = ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.col("__text")
     reach = max(len(tokens(t)) for v in NOTICES.values() for t in v)
 
     def word_array(p: Column) -> Column:
@@ -268,12 +269,12 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
         label = F.when(known, name).when(none >= 0.5, NONE).otherwise(UNKNOWN_CLASS)
         return F.struct(s["position"].alias("position"), label.alias("label"), F.when(known, best).otherwise(1.0 - none).alias("confidence"), known.alias("confirmed"))
 
-    paragraphs = F.transform(F.split(lowered, re.escape(separator), -1), lambda p, i: F.struct(i.alias("position"), p.alias("p")))
+    paragraphs = F.transform(F.split(text, re.escape(separator), -1), lambda p, i: F.struct(i.alias("position"), p.alias("p")))
     open_ = F.filter(paragraphs, lambda s: s["p"].rlike(anchor) if anchor else F.lit(True))
     steps = F.transform(open_, lambda s: F.struct(s["position"].alias("position"), gram_array(word_array(s["p"])).alias("grams")))
     steps = F.transform(F.transform(F.transform(steps, scored), softened), lambda s: judged(s))
     empty = F.array().cast("array<struct<position:int,label:string,confidence:double,confirmed:boolean>>")
-    gate = lowered.rlike(anchor) if anchor else F.lit(True)
+    gate = text.rlike(anchor) if anchor else F.lit(True)
 
     def around(lines: Column, before: bool) -> Column:
         """The words of lines up to the first that ends a notice, at most ``reach``; read backwards for those before."""
@@ -300,13 +301,14 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
         renewed = F.struct(alone["position"].alias("position"), wide["label"].alias("label"), wide["confidence"].alias("confidence"), wide["confirmed"].alias("confirmed"))
         return F.when(wide["confirmed"], renewed).otherwise(alone)
 
-    out = docs.withColumn("__found", F.when(gate, steps))
+    out = docs.select(whole_row(docs), lowered.alias("__text")).withColumn("__found", F.when(gate, steps))
     doubtful = F.filter("__found", lambda s: ~s["confirmed"])
     out = out.withColumn("__lines", F.when(F.size(doubtful) > 0, paragraphs)).withColumn("__sure", F.transform(F.filter("__found", lambda s: s["confirmed"]), lambda s: s["position"]))
     again = F.transform(F.transform(F.transform(F.transform(doubtful, widened), scored), softened), rejudged)
     every = F.when(F.size(doubtful) > 0, F.array_sort(F.concat(F.filter("__found", lambda s: s["confirmed"]), again))).otherwise(F.col("__found"))
     found = F.filter(every, lambda s: s["label"] != NONE)
-    return out.withColumn("licences", F.coalesce(found, empty)).drop("__found", "__lines", "__sure")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "licences"]
+    return out.select(*kept, F.coalesce(found, empty).alias("licences"))
 
 
 def fit_on(docs: DataFrame, max_paragraphs: int = 1500, max_chars: int = 2_000, text_col: str = "text") -> LicenceModel:

@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from tenantry.llm import byte_bpe, common, components, embedding_dedup, license_scan, line_dedup, minhash_dedup, mixing, quality_ranker, quality_rules, token_counts, warc
@@ -423,6 +424,35 @@ def test_ranker_odd(spark, odd, empty):
     assert quality_ranker.score_documents(empty, nothing).isEmpty()
 
 
+def test_ranker_score_brute_force(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 4000, 7)], "doc_id long, quality int")
+    ranker = quality_ranker.fit_ranker(docs, labels)
+    assert any(ranker.weights) and any(ranker.grams)
+    some = docs.select("doc_id", "text").orderBy("doc_id").limit(20)
+    features = {r["row"]["doc_id"]: r["x"] for r in quality_ranker.with_features(some, "text", "x").collect()}
+    for r in quality_ranker.score_documents(some, ranker).collect():
+        w = words_of(r["text"] or "")
+        hashed = [xxhash.xxh64_intdigest(a.encode(), 42) for a in w]
+        # the hash of a pair is that of its second word, seeded with that of the first
+        hashed += [xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42)) for a, b in zip(w, w[1:])]
+        signed = [h - (1 << 64) if h >> 63 else h for h in hashed]
+        z = [max(-quality_ranker.CLIP, min(quality_ranker.CLIP, (x - m) / c)) for x, m, c in zip(features[r["doc_id"]], ranker.mean, ranker.scale)]
+        raw = ranker.offset + np.dot(z, ranker.weights) + sum(ranker.grams[h % quality_ranker.BUCKETS] for h in signed) / (len(hashed) + quality_ranker.PRIOR)
+        assert abs(r["score"] - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_ranker_learns_words():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 1500)
+    # labels that no statistic tells, only how often the words of some buckets come
+    counts = rng.poisson(np.where(y[:, None] == 1, 2.0, 1.0) * np.where(np.arange(quality_ranker.BUCKETS) < 16, 1.0, 0.8))
+    shares = counts / (counts.sum(1, keepdims=True) + quality_ranker.PRIOR)
+    x = rng.normal(size=(1500, len(quality_ranker.NAMES)))
+    r = quality_ranker.fit_pairs(x[:1000], y[:1000], shares[:1000])
+    raw = ((x - r.mean) / r.scale) @ r.weights + shares @ np.array(r.grams) + r.offset
+    assert ((raw >= np.log(0.7 / 0.3)) == y)[1000:].mean() > 0.9
+
+
 # 7 near-duplicates
 
 
@@ -552,7 +582,8 @@ def test_clashing_columns_and_long_texts_pass_through(spark):
     long = "word another\n" * 100_000
     docs = spark.createDataFrame([(i, t, "en", "s", *[f"{c}{i}" for c in names]) for i, t in enumerate([long, "short text", "", None] * 3)], ["doc_id", "text", "lang", "source", *names])
     ranker = quality_ranker.fit_ranker(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int"))
-    outs = line_dedup.drop_shared_lines(docs), mixing.mix(docs), quality_ranker.score_documents(docs, ranker)
+    outs = line_dedup.drop_shared_lines(docs), mixing.mix(docs), quality_ranker.score_documents(docs, ranker), license_scan.scan_licences(docs.withColumn("__found", F.concat(F.lit("f"), "doc_id")), license_scan.fit_on(docs))
+    assert outs[3].columns == [*docs.columns, "__found", "licences"] and all(r["__found"] == f"f{r['doc_id']}" for r in outs[3].collect())
     assert outs[0].columns == [*docs.columns, "__n_lines", "__n_dropped"] and outs[1].columns == docs.columns and outs[2].columns == [*docs.columns, "score", "predicted"]
     for out in outs:
         assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in names)
@@ -640,3 +671,30 @@ def test_mixing_hot_repeated_row(spark):
     want = {"s": min(2 * sizes["s"], 1.5 * sum(sizes.values()) - min(2 * sizes["t"], 1.5 * sum(sizes.values()) / 4))}
     got = {r["source"]: r["n"] for r in out}
     assert abs(got["s"] - want["s"]) <= 20 and got["t"] <= 2 * sizes["t"]
+
+
+def test_mix_of_many_equal_rows(spark):
+    rows = [(None, "same words here", "en", "a", "u", 1)] * 5_000 + [(None, f"own {i} word", "en", "a", "u", 1) for i in range(200)] + [(i, "other text", "en", "b", "u", 1) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string, n long").repartition(5)
+    whole, parts = (mixing.mix(docs, part=n).groupBy("source", "text").count().collect() for n in (1_000_000, 10))
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
+    sizes = {"a": 5_200 * 3, "b": 100}
+    for source, target in (("a", 1.5 * sum(sizes.values()) - 200), ("b", 200)):
+        taken = {r["text"]: r["count"] for r in parts if r["source"] == source}
+        assert abs(sum(n * len(t.split()) for t, n in taken.items()) - target) <= 3
+        assert all(n <= 2 for t, n in taken.items() if t.startswith("own"))
+
+
+def test_mix_passes_maps(spark):
+    docs = spark.sql("select id as doc_id, 'one two' as text, 'a' as source, map('k', id) as m from range(6)")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and {r["m"]["k"] for r in out.collect()} <= set(range(6)) and out.count() == 9
+
+
+def test_pivotal_rounding_is_unbiased(spark):
+    sizes = spark.createDataFrame([(f"s{i}", d, 10 * (d + 1)) for i in range(400) for d in range(4)], "source string, doc_id long, size long")
+    targets = spark.createDataFrame([(f"s{i}", 100, 4, 37.0) for i in range(400)], "source string, source_size long, n_docs long, target double")
+    out = mixing.mix_copies(sizes, targets)
+    for r in out.groupBy("doc_id").agg(F.avg("copies").alias("p")).collect():
+        assert abs(r["p"] - 0.37) < 0.1
+    assert out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n")).filter(F.abs(F.col("n") - 37) >= 40).isEmpty()
