@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, license_scan, line_dedup, minhash_dedup, mixing, quality_ranker, quality_rules, token_counts, warc
+from . import byte_bpe, chat_format, divergence, embedding_dedup, license_scan, line_dedup, merkle, minhash_dedup, mixing, quality_ranker, quality_rules, token_counts, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_mixing": mixing.op10_mixing,
+    "op11_chat_format": chat_format.op11_chat_format,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 SQL = {
     "op8_line_dedup": line_dedup.SQL,
+    "op11_chat_format": chat_format.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
