@@ -8,6 +8,7 @@ so an old fault elsewhere blocks no command. Ids are given by the caller, as row
 from __future__ import annotations
 
 import functools
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from ..context import TenantContext, require
 from ..operators import reconcile, referential, rules
 from ..schema import TABLES
 from ..sources.tables import snapshot
+from ..sources.workspace import exists, hadoop_path
+from ..sources.workspace import remove as remove_path
 
 State = dict[str, DataFrame]
 Result = tuple[State, DataFrame]
@@ -319,9 +322,24 @@ def onboard(state: State, kind: str, ids: dict[str, int], tenant: dict, organiza
 
 
 def commit(result: Result, root: str) -> bool:
-    """Write the new state as a snapshot at root if no rule is broken; root must not exist."""
+    """Write the new state as a snapshot at root if no rule is broken; root must not exist.
+
+    The tables are written beside root and moved there by one rename, so a failing write leaves nothing at root. To
+    commit one state after another use sources.store.Store.
+    """
     state, found = result
     if not found.isEmpty():
         return False
-    snapshot(state, root)
+    spark = found.sparkSession
+    if exists(spark, root):
+        raise FileExistsError(root)
+    draft = f"{root.rstrip('/')}.{uuid.uuid4().hex}"
+    try:
+        snapshot(state, draft)
+        source, fs = hadoop_path(spark, draft)
+        if not fs.rename(source, hadoop_path(spark, root)[0]):
+            raise OSError(f"{root} could not be made")
+    except BaseException:
+        remove_path(spark, draft)
+        raise
     return True
