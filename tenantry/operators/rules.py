@@ -7,7 +7,9 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.collation import collated_keys
 from ..schema import TABLES
+from . import hierarchy
 
 
 def violations(df: DataFrame, rule_id: str, entity: str | Column, detail: str | Column) -> DataFrame:
@@ -22,8 +24,11 @@ def orphans(child: DataFrame, parent: DataFrame, column: str, parent_key: str =
 
 
 def duplicates(df: DataFrame, columns: list[str], entity: str = "id", rule_id: str = "unique") -> DataFrame:
-    """The rows beyond the smallest entity of each repeated key; a key with a null column is never a duplicate."""
-    known = df.filter(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
+    """The rows beyond the smallest entity of each repeated key; a key with a null column is never a duplicate.
+
+    Texts are compared without regard to case, accents and trailing spaces.
+    """
+    known = collated_keys(df, columns).filter(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
     kept = known.groupBy(*columns).agg(F.min(entity).alias("__kept"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     return violations(known.join(kept, columns).filter(F.col(entity) > F.col("__kept")), rule_id, entity, F.concat_ws("|", *columns))
 
@@ -114,7 +119,7 @@ def check_rows(state: dict[str, DataFrame], changed: dict[str, DataFrame], roots
         found.append(violations(rows.filter(F.lit(False)), "", entity, ""))
         found += [orphans(rows, state[r.parent], r.column, r.parent_key, entity, f"{name}.{r.column}.exists") for r in table.references if r.parent in state]
         for u in table.unique:
-            same = state[name].join(rows.select(*u).distinct(), list(u), "left_semi")
+            same = collated_keys(state[name], list(u)).join(collated_keys(rows.select(*u), list(u)).distinct(), list(u), "left_semi")
             found.append(duplicates(same, list(u), entity, f"{name}.{'_'.join(u)}.unique"))
         found += [outside_domain(rows, c, v, entity, f"{name}.{c}.in") for c, v in table.domains.items()]
     if "organizations" in changed:
@@ -127,18 +132,9 @@ def check_rows(state: dict[str, DataFrame], changed: dict[str, DataFrame], roots
 
 
 def endless_parents(organizations: DataFrame, rule_id: str = "no_cycle") -> DataFrame:
-    """Organizations on or below a cycle of parents: those that no walk down from a root, or from a row whose parent is missing, meets.
-
-    A recursive query; a hierarchy deeper than spark.sql.cteRecursionLevelLimit (100 unless set) is an error, not a wrong result.
-    """
-    met = organizations.sparkSession.sql(
-        """WITH RECURSIVE down(id) AS (
-             SELECT o.id FROM {organizations} o LEFT ANTI JOIN {organizations} p ON o.parent_id = p.id
-             UNION ALL SELECT o.id FROM {organizations} o JOIN down ON o.parent_id = down.id
-           ) SELECT id FROM down""",
-        organizations=organizations,
-    )
-    return violations(organizations.join(met, "id", "left_anti"), rule_id, "id", F.concat(F.lit("parent="), F.col("parent_id")))
+    """Organizations on or below a cycle of parents, at any depth: those without a topmost ancestor."""
+    lost = hierarchy.resolve(organizations).filter("root is null").select("id")
+    return violations(organizations.join(lost, "id", "left_semi"), rule_id, "id", F.concat(F.lit("parent="), F.col("parent_id")))
 
 
 def several_brands(link_brands: DataFrame, links: DataFrame, rule_id: str = "one_brand") -> DataFrame:
