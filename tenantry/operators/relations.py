@@ -84,5 +84,13 @@ def first_by(df: DataFrame, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(1)
 
 
+def first_or_fail(df: DataFrame, *order: str) -> DataFrame:
+    """The first row by a stated order; an error where there is none."""
+    found = first_by(df, *order)
+    if found.isEmpty():
+        raise LookupError("no row")
+    return found
+
+
 def where_all(df: DataFrame, *conditions: Column) -> DataFrame:
     return df.filter(functools.reduce(lambda a, b: a & b, conditions)) if conditions else df

@@ -91,7 +91,7 @@ def contractors_desc(d: Domain) -> DataFrame:
 
 @query("SELECT id, name FROM loc WHERE id = 7", "loc")
 def find_location(d: Domain) -> DataFrame:
-    return d.locations().filter("id = 7").select("id", "name")
+    return relations.find(d.locations(), 7).select("id", "name")
 
 
 @query("SELECT tenant_id, id, name FROM org WHERE parent_id IS NULL AND tenant_id = 1 ORDER BY id LIMIT 1", "org")
@@ -339,9 +339,9 @@ def name_drift(d: Domain) -> DataFrame:
 @query("SELECT 'locations' AS child, count(*) AS n FROM loc WHERE tenant_id = 2 UNION ALL SELECT 'entities', count(*) FROM ent WHERE tenant_id = 2 UNION ALL SELECT 'links', count(*) FROM lbe WHERE location_id IN (SELECT id FROM loc WHERE tenant_id = 2) OR business_entity_id IN (SELECT id FROM ent WHERE tenant_id = 2)", "loc", "ent", "lbe")
 def cascade_delete_impact(d: Domain) -> DataFrame:
     state = {"tenants": d.tenants(), "locations": d.locations(), "business_entities": d.business_entities(), "location_business_entities": d.location_business_entities()}
-    new, _ = referential.delete(state, "tenants", d.tenants().filter("id = 2"))
+    _, _, went = referential.delete_keys(state, "tenants", d.tenants().filter("id = 2"))
     named = {"locations": "locations", "business_entities": "entities", "location_business_entities": "links"}
-    gone = [state[t].select("id").join(new[t].select("id"), "id", "left_anti").select(F.lit(n).alias("child")) for t, n in named.items()]
+    gone = [went[t].select(F.lit(n).alias("child")) for t, n in named.items()]
     return functools.reduce(DataFrame.union, gone).groupBy("child").agg(F.count(F.lit(1)).alias("n"))
 
 
