@@ -17,12 +17,10 @@ import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from .common import table
+from .common import map_beside, table
 
 NONE = np.int64(1) << np.int64(62)
 
@@ -192,37 +190,31 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit numbers, decoded_sha256 over the bytes that the
     ids decode to, which are the text in UTF-8. A null text is encoded as the empty one: no ids. Columns that
-    clash with the added ones are replaced. Repeated rows all stay.
+    clash with the added ones are replaced, others pass through whatever their names. Repeated rows all stay. Whole
+    texts are encoded, however long.
     """
-    added = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    others = [c for c in docs.columns if c != text_col and c not in added]
-    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if with_ids:
-        schema = schema.add("ids", ArrayType(LongType()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = encoder(path, pattern)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch.pop("__text")]
-            rows = []
-            for start, end in packs(texts):
-                if end - start > 1:
-                    encoded = ([x] for x in bpe.encode_many(texts[start:end]))
-                else:
-                    encoded = (bpe.encode_chunks(t) for t in texts[start:end])
-                for chunks in encoded:
-                    n, hashed, decoded, kept = 0, hashlib.sha256(), hashlib.sha256(), []
-                    for chunk in chunks:
-                        ids = np.frombuffer(chunk, "<u4")
-                        n += len(ids)
-                        hashed.update(chunk)
-                        decoded.update(bpe.decode(ids))
-                        if with_ids:
-                            kept.append(ids.astype(np.int64))
-                    rows.append((n, hashed.hexdigest(), decoded.hexdigest()) + ((np.concatenate(kept) if kept else np.array([], np.int64),) if with_ids else ()))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=added)], axis=1)
-
-    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(text_col).alias("__text")).mapInPandas(run, schema)
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
+    others = [c for c in docs.columns if c != text_col and c not in [x.split()[0] for x in added.split(", ")]]
+
+    def work(batch: dict[str, list]) -> Iterator[tuple[int, tuple]]:
+        bpe, texts = encoder(path, pattern), [t or "" for t in batch["text"]]
+        for start, end in packs(texts):
+            if end - start > 1:
+                encoded = ([x] for x in bpe.encode_many(texts[start:end]))
+            else:
+                encoded = (bpe.encode_chunks(t) for t in texts[start:end])
+            for i, chunks in enumerate(encoded, start):
+                n, hashed, decoded, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+                for chunk in chunks:
+                    ids = np.frombuffer(chunk, "<u4")
+                    n += len(ids)
+                    hashed.update(chunk)
+                    decoded.update(bpe.decode(ids))
+                    if with_ids:
+                        kept.append(ids.astype(np.int64))
+                yield i, (n, hashed.hexdigest(), decoded.hexdigest()) + ((np.concatenate(kept) if kept else np.array([], np.int64),) if with_ids else ())
+
+    return map_beside(docs, others, {"text": F.col(f"`{text_col}`")}, added, work)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 #: White space of the word and line contracts: space and the controls 09 to 0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -62,6 +66,31 @@ def whole_row(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+def map_beside(df: DataFrame, others: list[str], held: dict[str, Column], added: str, work: Callable[[dict[str, list]], Iterator[tuple[int, tuple]]]) -> DataFrame:
+    """The columns ``others`` of df, untouched, and those of ``added`` (DDL) that Python makes of the expressions ``held``.
+
+    ``work`` takes the values of held of one batch and gives (place of the row, new values), rows in any number and order. Other
+    columns pass as Arrow arrays under names of their place, so any name and type will do and nulls change no type.
+    """
+    new = StructType.fromDDL(added)
+    numbered = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], *[e.alias(f"held_{n}") for n, e in held.items()])
+    kept, given = [f"c{i}" for i in range(len(others))], list(held)
+    schema = StructType([*numbered.select(*kept).schema, *[StructField(f"new_{f.name}", f.dataType) for f in new]])
+    arrow = to_arrow_schema(StructType(list(schema)[len(kept) :]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = list(work({n: batch.column(f"held_{n}").to_pylist() for n in given}))
+            at = pa.array([i for i, _ in made], pa.int64())
+            columns = [batch.column(c).take(at) for c in kept]
+            values = list(zip(*[v for _, v in made], strict=True)) or [()] * len(arrow)
+            columns += [pa.array(list(v), f.type) for v, f in zip(values, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *arrow.names])
+
+    out = numbered.mapInArrow(run, schema)
+    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, others, strict=True)], *[F.col(f"new_{f.name}").alias(f.name) for f in new])
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in order; an empty array where there are none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

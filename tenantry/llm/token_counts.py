@@ -19,12 +19,10 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import table
+from .common import map_beside, table
 
 ADDED = "n_tokens long, n_crossing long, outside double, sections array<struct<name:string,start:int,end:int,tokens:double>>"
 RULES = ("start", "most", "share")
@@ -126,36 +124,31 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
     without it each line is a section: the first is the title, the others are body. Null and empty texts have no
     tokens, and each of their sections counts 0. Null sections are none: all tokens are outside. A null bound or
     one beyond the text is the text's end. Where sections overlap, the one that starts first has the text. Repeated rows all stay; columns that clash with the added ones are
-    replaced.
+    replaced, others pass through whatever their names. Whole texts are read, however long.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     added = ("n_tokens", "n_crossing", "outside", "sections")
     others = [c for c in docs.columns if c not in (*added, text_col, sections)]
-    schema = StructType([*docs.select(*[F.col(f"`{c}`") for c in others]).schema, *StructType.fromDDL(ADDED)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, given = batch.pop("__text").tolist(), batch.pop("__sections").tolist() if sections else None
-            rows = []
-            for i, t in enumerate(texts):
-                t = t if isinstance(t, str) else ""
-                if given is None:
-                    edges = np.cumsum([0, *(len(x) + 1 for x in t.split("\n"))])
-                    spans = np.stack([edges[:-1], np.minimum(edges[1:], len(t))], 1)
-                    names = ["title", *["body"] * (len(spans) - 1)]
-                else:
-                    own = [s for s in given[i] if s is not None] if given[i] is not None else []
-                    names = [s["name"] for s in own]
-                    spans = np.array([[len(t) if s[k] is None else s[k] for k in ("start", "end")] for s in own], np.int64).reshape(-1, 2)
-                ends = token_ends(t, path, pattern)
-                counts, crossing, outside = attribute(ends, t, spans, rule)
-                out = [{"name": n, "start": a, "end": b, "tokens": c} for n, (a, b), c in zip(names, np.clip(spans, 0, len(t)).tolist(), counts.tolist(), strict=True)]
-                rows.append((len(ends), crossing, outside, out))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=added)], axis=1)
-
-    held = [F.col(text_col).alias("__text"), *([F.col(sections).alias("__sections")] if sections else [])]
-    return docs.select(*[F.col(f"`{c}`") for c in others], *held).mapInPandas(run, schema)
+
+    def work(batch: dict[str, list]) -> Iterator[tuple[int, tuple]]:
+        for i, t in enumerate(batch["text"]):
+            t = t or ""
+            if sections is None:
+                edges = np.cumsum([0, *(len(x) + 1 for x in t.split("\n"))])
+                spans = np.stack([edges[:-1], np.minimum(edges[1:], len(t))], 1)
+                names = ["title", *["body"] * (len(spans) - 1)]
+            else:
+                own = [s for s in batch["sections"][i] or () if s is not None]
+                names = [s["name"] for s in own]
+                spans = np.array([[len(t) if s[k] is None else s[k] for k in ("start", "end")] for s in own], np.int64).reshape(-1, 2)
+            ends = token_ends(t, path, pattern)
+            counts, crossing, outside = attribute(ends, t, spans, rule)
+            out = [{"name": n, "start": a, "end": b, "tokens": c} for n, (a, b), c in zip(names, np.clip(spans, 0, len(t)).tolist(), counts.tolist(), strict=True)]
+            yield i, (len(ends), crossing, float(outside), out)
+
+    held = {"text": F.col(f"`{text_col}`"), **({"sections": F.col(f"`{sections}`")} if sections else {})}
+    return map_beside(docs, others, held, ADDED, work)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,16 +15,17 @@ import html
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import table
+from .common import map_beside, table
 
 RECORD = "record_id string, warc_type string, target_uri string, date string, refers_to string, content_type string, headers map<string,string>, block_digest string, payload_digest string, block binary"
+#: Bytes of a file that are read at once, that a decompressor gets at once, and of blocks that are handed on together.
+BLOCK, STEP, OUT = 1 << 20, 1 << 14, 64 << 20
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
 
 _HIDDEN = re.compile(r"<!--|<!\[CDATA\[|<(script|style|noscript|template|svg)(?=[\s/>])", re.I)
@@ -35,6 +36,8 @@ _WHOLE_TAG = re.compile(r"<[^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*>")
 #: Elements that end a line, and those that stand in one beside others.
 _BREAKS = frozenset("p div br hr li ul ol dl dt dd tr table thead tbody h1 h2 h3 h4 h5 h6 section article header footer nav main aside form blockquote pre title head body html option figure figcaption".split())
 _CELLS = frozenset(("td", "th"))
+#: A tag up to the sign that ends it: not one inside a quoted value.
+_TAG = re.compile(r"<(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)(?=[\s/]|$)")
 _TITLE, _TITLE_END = re.compile(r"<title(?=[\s/>])", re.I), re.compile(r"</title\s*>", re.I)
 _HTML, _LANG = re.compile(r"<html(?=[\s/>])", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
@@ -81,9 +84,10 @@ def _without_tags(page: str) -> str:
         if not (page[start + 1 : start + 2].isascii() and (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("!", "/", "?"))):
             start = page.find("<", start + 1)
             continue
-        end = page.find(">", start)
-        if end < 0:
+        tag = _TAG.match(page, start)
+        if tag is None:
             break
+        end = tag.end() - 1
         m = _NAME.match(page[start + 1 : end])
         name = m[1].lower() if m else ""
         out += [page[at:start], "\n" if name in _BREAKS else " " if name in _CELLS else ""]
@@ -141,16 +145,22 @@ def _dechunked(body: bytes) -> bytes:
     return b"".join(out) if out else body
 
 
+def _inflate(payload: bytes, bits: int) -> bytes:
+    """What a compressed body holds; of one that is cut off, the part that can be read."""
+    one = zlib.decompressobj(bits)
+    return one.decompress(payload) + one.flush()
+
+
 def decoded_body(headers: dict[str, str], payload: bytes) -> bytes:
-    """The payload without its transfer and content encodings (chunked, gzip, deflate); what fails to decode is left as it is."""
+    """The payload without its transfer and content encodings (chunked, gzip, deflate); what fails to decode is left as it is, a body that is cut off gives what can be read."""
     if "chunked" in headers.get("transfer-encoding", "").lower():
         payload = _dechunked(payload)
     for kind in reversed([x.strip().lower() for x in headers.get("content-encoding", "").split(",")]):
         try:
             if kind in ("gzip", "x-gzip"):
-                payload = zlib.decompress(payload, 47)
+                payload = _inflate(payload, 47)
             elif kind == "deflate":
-                payload = zlib.decompress(payload, 15 if payload[:1] and payload[0] & 15 == 8 else -15)
+                payload = _inflate(payload, 15 if payload[:1] and payload[0] & 15 == 8 else -15)
         except zlib.error:
             break
     return payload
@@ -198,52 +208,125 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """
     names = [x.split()[0] for x in RECORD.split(", ")]
     others = [c for c in responses.columns if c not in names]
-    schema = StructType([*responses.select(*[F.col(f"`{c}`") for c in others]).schema, *StructType.fromDDL(RECORD)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept, rows, at = batch[others].reset_index(drop=True), [], []
-            for i, (rid, uri, date, block) in enumerate(zip(batch["record_id"], batch["target_uri"], batch["date"], batch["block"], strict=True)):
-                block = bytes(block) if block is not None else b""
-                rid = rid if isinstance(rid, str) else urn(digest(block))
-                rows += derive(rid, uri if isinstance(uri, str) else None, date if isinstance(date, str) else None, block)
-                at += [i, i]
-            yield pd.concat([kept.iloc[at].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-
-    return responses.select(*[F.col(f"`{c}`") for c in others], "record_id", "target_uri", "date", "block").mapInPandas(run, schema)
-
-
-def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a WARC file, plain or compressed record by record."""
-    if raw[:2] == b"\x1f\x8b":
-        parts = []
-        while raw[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(raw) + member.flush())
-            raw = member.unused_data
-        raw = b"".join(parts)
-    at = 0
-    while (start := raw.find(b"WARC/", at)) >= 0 and (gap := raw.find(b"\r\n\r\n", start)) >= 0:
-        pairs = (x.split(":", 1) for x in raw[start:gap].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
+    def work(batch: dict[str, list]) -> Iterator[tuple[int, tuple]]:
+        for i, (rid, uri, date, block) in enumerate(zip(*(batch[c] for c in ("record_id", "target_uri", "date", "block")), strict=True)):
+            block = block or b""
+            for record in derive(urn(digest(block)) if rid is None else rid, uri, date, block):
+                yield i, tuple(list(record[n].items()) if n == "headers" else record[n] for n in names)
+
+    return map_beside(responses, others, {c: F.col(c) for c in ("record_id", "target_uri", "date", "block")}, RECORD, work)
+
+
+def _inflated(blocks: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of a file that may be compressed record by record, one decompressor for each member.
+
+    A decompressor gets slices of STEP bytes, so what it hands back when a member ends is short. What follows the
+    last whole member and is none is left out.
+    """
+    member, compressed = None, None
+    for block in blocks:
+        if compressed is None and block:
+            compressed = block[:2] == b"\x1f\x8b"
+        if not compressed:
+            yield block
+            continue
+        view, at = memoryview(block), 0
+        while at < len(view):
+            member = member or zlib.decompressobj(31)
+            end = min(at + STEP, len(view))
+            try:
+                out = member.decompress(view[at:end])
+            except zlib.error:
+                return
+            at = end - len(member.unused_data)
+            member = None if member.eof else member
+            if out:
+                yield out
+
+
+def parse_records(source: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a WARC file, plain or compressed record by record.
+
+    ``source`` is the file's bytes or its blocks in order. Records come as they are read: no more than one record, and
+    what a block inflates to, is held. A record cut off by the file's end comes with the bytes that are there.
+    """
+    blocks = _inflated(_sliced(source) if isinstance(source, bytes | bytearray | memoryview) else source)
+    held = bytearray()
+
+    def more() -> bool:
+        for block in blocks:
+            held.extend(block)
+            return True
+        return False
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0:
+            del held[: max(0, len(held) - 4)]
+            if not more():
+                return
+        del held[:start]
+        seen = 0
+        while (gap := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                return
+        pairs = (x.split(":", 1) for x in held[:gap].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
         headers = {k.strip().lower(): v.strip() for k, v in pairs}
-        n = int(headers["content-length"]) if headers.get("content-length", "").isdigit() else 0
-        yield headers, raw[gap + 4 : gap + 4 + n]
-        at = gap + 4 + n
+        end = gap + 4 + (int(headers["content-length"]) if headers.get("content-length", "").isdigit() else 0)
+        while len(held) < end and more():
+            pass
+        yield headers, bytes(held[gap + 4 : end])
+        del held[:end]
+
+
+def _sliced(raw: bytes | memoryview) -> Iterator[bytes]:
+    view = memoryview(raw)
+    for at in range(0, len(view), BLOCK):
+        yield bytes(view[at : at + BLOCK])
+
 
+def _blocks_of(path: str) -> Iterator[bytes]:
+    """The blocks of a file of any store that Arrow opens: local, HDFS, S3 and the like."""
+    from pyarrow import fs
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(name, compression=None) as f:
+        while block := f.read(BLOCK):
+            yield block
+
+
+def read_responses(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
     """The response records (record_id, target_uri, date, block) of the WARC files under path, as derivatives() takes them.
 
-    A file is read by one task as a whole, as is usual for files of this kind, which are written at some 1 GB each.
+    One task reads a file, which cannot be entered in its middle, in blocks: it holds a batch of records, not the
+    file. Spark lists the files; a task opens them by Arrow. ``stream=False`` has Spark read them, for stores that
+    Arrow does not know; a file is then held whole and may have 2 GB at most.
     """
+    names = ["record_id", "target_uri", "date", "block"]
+
+    def responses(source: bytes | Iterable[bytes]) -> Iterator[tuple]:
+        for h, block in parse_records(source):
+            if h.get("warc-type") == "response":
+                yield h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), block
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for raw in batch["content"]:
-                rows = [(h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), block) for h, block in parse_records(bytes(raw)) if h.get("warc-type") == "response"]
-                yield pd.DataFrame(rows, columns=["record_id", "target_uri", "date", "block"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "record_id string, target_uri string, date string, block binary")
+            for held in batch["held"]:
+                rows, size = [], 0
+                for row in responses(_blocks_of(held) if stream else bytes(held)):
+                    rows.append(row)
+                    size += len(row[3])
+                    if size > OUT:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=names)
+
+    files = spark.read.format("binaryFile").load(path)
+    held = files.select(F.col("path" if stream else "content").alias("held"))
+    if stream:  # paths alone are small: each is dealt to a task of its own
+        held = held.repartition(max(1, held.count()), "held")
+    return held.mapInPandas(run, "record_id string, target_uri string, date string, block binary")
 
 
 def serialise(records: DataFrame) -> DataFrame:

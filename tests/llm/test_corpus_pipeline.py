@@ -76,3 +76,34 @@ def test_encoding_stage(outputs):
 
 def test_run_agrees_with_stages(spark, outputs):
     assert sorted(map(tuple, corpus_pipeline.run(spark, D).collect())) == sorted(map(tuple, outputs[4].collect()))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, __text string, row string, id long, rows long, kept_id string"
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls everywhere, repeated rows, ids with several texts, a very long text and columns with clashing names, through all stages."""
+    good = [r["text"] for r in spark.read.parquet(f"{D}/documents.parquet").join(spark.read.parquet(f"{D}/labels.parquet").filter("quality = 1"), "doc_id").orderBy("doc_id").limit(12).collect()]
+    long = "\n".join(f"{t} {i}" for i, t in enumerate(good * 40))
+    rows = [(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(good)] + [(0, good[0], "en", "s0", 1), (0, good[0], None, None, None), (0, good[1], "en", "s0", 1), (None, good[2], "en", "s1", 1), (None, good[2], "en", "s1", 1), (50, None, None, None, None), (51, "", "en", "s1", 0), (52, long, "en", "s1", 1)]
+    docs = spark.createDataFrame([(*r, f"p{i}", f"q{i}", f"r{i}", i, i, f"k{i}") for i, r in enumerate(rows)], ODD)
+    assert corpus_pipeline.quality(spark, docs, D).columns == docs.columns
+    held = corpus_pipeline.lines(spark, docs, D)
+    assert held.columns == docs.columns and held.count() == len(rows)
+    once = corpus_pipeline.near_duplicates(spark, docs, D)
+    kept = [(r["doc_id"], r["text"]) for r in once.collect()]
+    assert once.columns == docs.columns and kept.count((0, good[0])) == 1 and kept.count((0, good[1])) == 1 and kept.count((None, good[2])) == 2 and (1, good[1]) not in kept and (52, long) in kept and (50, None) in kept
+    mixed = corpus_pipeline.mixture(spark, once, D)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        i = r["id"]
+        assert (r["a.b"], r["__text"], r["row"], r["rows"], r["kept_id"]) == (f"p{i}", f"q{i}", f"r{i}", i, f"k{i}") and (r["doc_id"], r["text"]) == rows[i][:2]
+    encoded = corpus_pipeline.encoding(spark, docs, D)
+    assert encoded.count() == len(rows) and encoded.filter("doc_id = 50").first()["n_tokens"] == 0
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, D)
+        assert out.isEmpty()
