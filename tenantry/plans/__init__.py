@@ -1,3 +1,3 @@
 """Whole plans: state-changing commands and the registered queries."""
 
-from . import lifecycle, queries  # noqa: F401  lifecycle registers its queries
+from . import lifecycle, queries, writes  # noqa: F401  all register their queries

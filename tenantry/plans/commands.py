@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..context import TenantContext, require
+from ..functions import columns
 from ..operators import reconcile, referential, rules
 from ..schema import TABLES
 from ..sources.tables import snapshot
@@ -95,6 +96,32 @@ def remove(state: State, name: str, key: int, ctx: TenantContext | None = None)
     return new, found.unionByName(_own(state[name], ctx, [key], f"{name}.tenant")) if ctx else found
 
 
+def create_tenant(state: State, **values) -> Result:
+    """A tenant, active unless told otherwise, whose slug has letters, digits, dashes and underscores only and is taken by none."""
+    new, found = insert(state, "tenants", **{"status": True, **values})
+    return new, found.unionByName(_odd_slugs(new["tenants"].filter(F.col("id") == values["id"])))
+
+
+def update_tenant(state: State, key: int, changes: dict) -> Result:
+    """Patch a tenant; its own slug is no taken one. The files of replaced_logos() may go once the new state is committed."""
+    new, found = update(state, "tenants", key, changes)
+    return new, found.unionByName(_odd_slugs(new["tenants"].filter(F.col("id") == key))).unionByName(_absent(state["tenants"], [key], "tenants.id.exists", "no row"))
+
+
+def delete_tenant(state: State, key: int) -> Result:
+    """A tenant and all that is its own; companies keep their entities, and so keep the tenant."""
+    return remove(state, "tenants", key)
+
+
+def _odd_slugs(rows: DataFrame) -> DataFrame:
+    return rules.violations(rows.filter(~columns.alpha_dash(F.col("slug"))), "tenants.slug.alpha_dash", "id", F.col("slug"))
+
+
+def replaced_logos(old: State, new: State) -> DataFrame:
+    """(id, logo_path): stored logos that the old state names and the new one does not."""
+    return old["tenants"].filter("logo_path is not null").select("id", "logo_path").join(new["tenants"].select("logo_path").distinct(), "logo_path", "left_anti").select("id", "logo_path")
+
+
 def create_organization(state: State, ctx: TenantContext | None, **values) -> Result:
     """An organization of the tenant: a root only if there is none, else below one of the tenant's own."""
     ctx = require(ctx)

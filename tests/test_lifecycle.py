@@ -351,3 +351,26 @@ def test_small_things(spark, tmp_path):
     assert [tuple(r) for r in one.select(C.is_boolean(F.col("b")), C.size_kb(F.col("n"))).collect()] == [(True, "1.50"), (True, None), (False, "0.00")]
     assert tables.has_columns(one, "b", "n") and not tables.has_columns(one, "z")
     assert [r["t"] for r in one.withColumn("t", C.logo_url(F.col("t"), "u")).collect()] == ["u/storage/x", None, None]
+
+
+def test_tables_of_a_database(spark):
+    """Derby, which ships with Spark, stands for any database: whole, in parts, and within a context."""
+    url, driver = "jdbc:derby:memory:tenantry;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(100).select("id", (F.col("id") % 3).alias("tenant_id"), F.concat(F.lit("n"), "id").alias("name"))
+    rows.write.format("jdbc").options(url=url, driver=driver, dbtable="locations").mode("overwrite").save()
+    whole = tables.jdbc(spark, url, "locations", driver=driver)
+    parts = tables.jdbc(spark, url, "locations", CTX, ("id", 0, 100, 4), driver=driver)
+    assert rows_of(whole) == rows_of(rows) and rows_of(parts) == rows_of(rows.filter("tenant_id = 1")) and parts.rdd.getNumPartitions() == 4
+    assert "PushedFilters" in parts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tenants_change_with_their_logos(spark, state):
+    with_logo = state | {"tenants": cmd.row(state, "tenants", {"id": 1, "slug": "a", "logo_path": "l/1"}, {"id": 2, "slug": "b", "logo_path": "l/2"}, {"id": 3, "slug": "c"})}
+    new, found = cmd.update_tenant(with_logo, 1, {"logo_path": "l/9", "slug": "a"})
+    assert found.isEmpty() and rows_of(cmd.replaced_logos(with_logo, new)) == [(1, "l/1")]
+    assert [r["rule_id"] for r in cmd.update_tenant(with_logo, 1, {"slug": "no no"})[1].collect()] == ["tenants.slug.alpha_dash"]
+    assert [r["rule_id"] for r in cmd.update_tenant(with_logo, 9, {"slug": "x"})[1].collect()] == ["tenants.id.exists"]
+    gone, _ = cmd.delete_tenant(with_logo, 2)
+    assert rows_of(cmd.replaced_logos(with_logo, gone)) == [(2, "l/2")] and rows_of(gone["locations"].select("id")) == [(5,)]
+    made, found = cmd.create_tenant(with_logo, id=4, name="d", slug="d")
+    assert found.isEmpty() and made["tenants"].filter("id = 4").first()["status"]
