@@ -26,9 +26,9 @@ from .common import SPACES, Scratch, table, uniform, words
 
 DIMS = 4
 #: The share of vectors in the concentrated half, the starts, about how many vectors a random start has, and the most steps.
-SHARE, STARTS, SEEDS, STEPS = 0.5, 4, 12, 12
-#: The steps that all starts take; then only the best of each group goes on.
-TRIAL = 3
+SHARE, STARTS, SEEDS, STEPS = 0.5, 12, 12, 12
+#: The steps that all starts take, and the starts of each group that then go on, as is usual for this estimate.
+TRIAL, GO_ON = 2, 3
 #: A determinant that falls by less than this share has stopped.
 SETTLED = 1e-2
 #: Vectors at which a group weighs as much as the wider one.
@@ -162,7 +162,8 @@ def mcd_estimates(points: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]
         found.append(scratch.write(_factored(estimates.filter(F.col("m0").isNotNull()))))
         live = found[-1]
         if len(found) == TRIAL:
-            lead = live.groupBy("g").agg(F.min(F.struct("det", "s")).alias("b")).select("g", "b.s")
+            ranked = F.slice(F.sort_array(F.collect_list(F.struct("det", "s"))), 1, GO_ON)  # of one row a start
+            lead = live.groupBy("g").agg(ranked.alias("b")).select("g", F.explode("b.s").alias("s"))
             live = live.join(lead, ["g", "s"], "left_semi")
         live = live.filter(F.col("before").isNull() | (F.col("det") < F.col("before") * (1 - SETTLED)))
         if len(found) >= STEPS or live.isEmpty():
