@@ -1,9 +1,9 @@
 """Licence scans: a trained paragraph classifier whose predictions are confirmed by template comparison.
 
 A paragraph's features are its distinct words and word pairs. A multinomial logistic regression with a sparsity
-penalty, trained on notices of each family, on licence-like sentences of no known family and on a bounded sample of
+penalty, trained on notices of each family, on notices and sentences of other licences and, as rows of class none, on a bounded sample of
 the corpus's own paragraphs, gives the probability of each family, of ``unknown`` and of ``none``; a temperature
-fitted on rows held back calibrates them. A predicted family stands if it is likely enough and if the paragraph
+fitted on whole notices held back calibrates them. A predicted family stands if it is likely enough and if the paragraph
 holds most of the word pairs of one of the family's notices; otherwise the paragraph is an unknown licence.
 A notice may wrap over lines: a line that is not confirmed by itself is judged again with the words around it.
 
@@ -83,32 +83,84 @@ NOTICES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     ],
 }
-# Licence-like sentences of no family above, and sentences that only share words with notices.
+# Licences of no family above, with their versions and short names, and forms in which licences are declared.
+OTHER_LICENCES = [
+    ("Academic Free License", "3.0", "AFL-3.0"),
+    ("Apple Public Source License", "2.0", "APSL-2.0"),
+    ("Common Public License", "1.0", "CPL-1.0"),
+    ("Elastic License", "2.0", "Elastic-2.0"),
+    ("Example Community License", "1.1", "LicenseRef-Example"),
+    ("GNU Free Documentation License", "1.3", "GFDL-1.3-only"),
+    ("GNU General Public License", "1", "GPL-1.0-only"),
+    ("Microsoft Public License", "1.0", "MS-PL"),
+    ("Open Database License", "1.0", "ODbL-1.0"),
+    ("Open Font License", "1.1", "OFL-1.1"),
+    ("Open Software License", "3.0", "OSL-3.0"),
+    ("OpenSSL License", "1.0", "OpenSSL"),
+    ("PHP License", "3.01", "PHP-3.01"),
+    ("Prosperity Public License", "3.0.0", "Prosperity-3.0.0"),
+    ("Python Software Foundation License", "2", "PSF-2.0"),
+    ("Q Public License", "1.0", "QPL-1.0"),
+    ("University of Illinois Open Source License", "1", "NCSA"),
+    ("W3C Software Notice and License", "2015", "W3C"),
+    ("Zope Public License", "2.1", "ZPL-2.1"),
+]
+FORMS = [
+    "Licensed under the {0}.",
+    "Released under the {0}, version {1}.",
+    "This program is distributed under the terms of the {0} {1}.",
+    "This file is subject to the terms of the {0}; you may obtain a copy of it from the authors.",
+    "Made available under the {0}, Version {1}; see the file LICENSE.",
+    "This program is free software; you can redistribute it under the terms of the {0}.",
+    "{0}, version {1}",
+    "SPDX-License-Identifier: {2}",
+]
+# Licence-like sentences of no family, and sentences that only share words with notices.
 UNKNOWN = [
-    "Licensed under the Example Community License, version 1.1.",
     "Released under the Acme Research License.",
     "This work is licensed under the terms of our vendor agreement.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 License.",
     "All rights reserved. No part may be reproduced without written permission.",
+    "Copyright 2019 Acme Corporation. All rights reserved. Confidential information of Acme; do not copy or disclose.",
     "Use of this material is governed by the license agreement that accompanies it.",
+    "Unless you have a signed agreement with the vendor, you may not copy, modify or distribute this software.",
+    "You are granted a non-exclusive, non-transferable license to use the software for internal purposes.",
     "Distributed under a custom license; see the file LICENSE for the terms.",
     "This dataset is licensed for evaluation only.",
+    "This software is provided as is, without warranty of any kind, express or implied, including fitness for a particular purpose.",
+    "The authors disclaim all warranties and shall not be liable for any damages that arise from this software.",
+    "Anyone is free to copy, modify, publish, use, sell or distribute this software, commercially or not.",
+    "The author has placed this code in the public domain and claims no copyright.",
+    "Copying and distribution of this file, with or without modification, are permitted in any medium without royalty.",
+    "Permission to copy and distribute this document is granted provided that this notice is kept.",
+    "Altered source versions must be plainly marked as such and may not misrepresent the original software.",
 ]
 NOT_LICENCES = [
     "The driver's license was renewed under the new law.",
+    "She lost her fishing license and paid for a new one.",
+    "The station's license to broadcast ends in May.",
     "An apache helicopter flew over the city.",
     "Researchers at MIT released a study of the river.",
     "The general public was free to use this road.",
+    "A public hearing on the terms of the contract was held by the foundation.",
     "Version 2.0 of the program is faster than version 1.0.",
+    "The software was released in March and distributed on disks.",
     "The foundation published a copy of the report, free of charge.",
     "The restaurant is licensed to sell wine.",
     "They gave permission to use the hall for any purpose.",
+    "Permission to cross the field was granted by the owner.",
+    "The warranty of the car ends after three years.",
+    "The source of the river is open to the public.",
+    "The shop's rights and conditions are printed on the ticket.",
+    "He was granted a patent for the machine in 1901.",
+    "The new edition is available from the library.",
 ]
 # What often stands before and after a notice.
 BEFORE = ["", "Copyright (c) 2021 The Authors.", "License:", "Note:", "The code of this page is free."]
 AFTER = ["", "See the LICENSE file for details.", "Some rights reserved.", "Thank you for reading."]
 
 # Words too usual to tell a notice.
-STOP_WORDS = set("a an and any are as at be by can for from has have how in is it its may no not of on or our part see some that the their then this to was were will with without you your 1 2 3 c all following file code copy work use note page reading thank".split())
+STOP_WORDS = set("a an and any are as at be been but by can do for from had has have he her his how if in into is it its may more no not of on one or our part see shall she should so some such than that the their them then there these they this those to two was we were what when which who will with without would you your 1 2 3 c all also following file code copy work use used note page reading thank new made make new time person people".split())
 
 NONE, UNKNOWN_CLASS = "none", "unknown"
 #: Words are runs of letters and digits, with single marks inside as in 2.0 or by-nc.
@@ -138,45 +190,92 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit_licences(corpus: list[str], penalty: float = 3e-4, steps: int = 1500, common: float = 0.002, none_weight: float = 3.0) -> LicenceModel:
-    """Train on the notices above and on paragraphs of the corpus, which count as none unless they speak of licences."""
+def _notices() -> list[tuple[str, str, str]]:
+    """(class, licence, notice) of every notice, sentence and form filled in; a sentence of no named licence stands for itself."""
+    forms = [(UNKNOWN_CLASS, names[0], f.format(*names)) for i, names in enumerate(OTHER_LICENCES) for k, f in enumerate(FORMS) if (i + k) % 2 == 0]
+    named = [(name, name, n) for name, notices in NOTICES.items() for n in notices]
+    return named + forms + [(UNKNOWN_CLASS, n, n) for n in UNKNOWN] + [(NONE, n, n) for n in NOT_LICENCES]
+
+
+def vocabulary() -> list[str]:
+    """The words and word pairs that can be features: those of licence notices, unless all their words are stop words."""
+    return sorted({g for name, _, n in _notices() if name != NONE for b in BEFORE for a in AFTER for g in grams(tokens(f"{b} {n} {a}")) if not STOP_WORDS.issuperset(g.split(" "))})
+
+
+class _Sets:
+    """Rows as sets of feature numbers: products with weights and sums by feature, in time of the features held."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        self.width, self.n = width, len(rows)
+        # feature ``width`` stands in every row and weighs nothing, so that no row is empty; each feature has a last row of zeros
+        self.at = np.array([i for r in rows for i in (*r, width)], np.int64)
+        self.starts = np.cumsum([0, *(len(r) + 1 for r in rows[:-1])])
+        row = np.concatenate([np.repeat(np.arange(self.n), [len(r) + 1 for r in rows]), np.full(width + 1, self.n)])
+        feature = np.concatenate([self.at, np.arange(width + 1)])
+        order = np.argsort(feature, kind="stable")
+        self.row, self.by_feature = row[order], np.searchsorted(feature[order], np.arange(width + 1))
+        self.size = np.array([len(r) for r in rows], float)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.vstack([w, np.zeros(w.shape[1])])[self.at], self.starts)
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.vstack([g, np.zeros(g.shape[1])])[self.row], self.by_feature)[: self.width]
+
+
+def _fitted(x: _Sets, y: np.ndarray, weight: np.ndarray, classes: int, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by proximal gradient steps with momentum: the penalty sets small weights to zero."""
+    target, share = np.eye(classes)[y], (weight / weight.sum())[:, None]
+    w, b = np.zeros((x.width, classes)), np.zeros(classes)
+    rate = 2.0 / max(float((share[:, 0] * x.size).sum()), 1e-9)
+    at_w, at_b, t = w, b, 1.0
+    for _ in range(steps):
+        g = share * (_softmax(x.times(at_w) + at_b) - target)
+        new = at_w - rate * x.sums(g)
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
+        new_b, t_next = at_b - rate * g.sum(0), (1 + (1 + 4 * t * t) ** 0.5) / 2
+        at_w, at_b = new + (t - 1) / t_next * (new - w), new_b + (t - 1) / t_next * (new_b - b)
+        w, b, t = new, new_b, t_next
+    return w, b
+
+
+def fit_licences(plain: list[list[str]], penalty: float = 3e-4, steps: int = 300, open_weight: float = 3.0, folds: int = 3) -> LicenceModel:
+    """Train on the notices above and on ``plain``: the vocabulary's grams in each of some paragraphs that speak of no licence.
+
+    Calibration holds rows back: each fold is scored by a model that has seen none of them. A family is the set of
+    its notices, so its folds are surroundings; unknown and none are open, so theirs are whole licences and sentences.
+    The temperature has the least loss over all folds, and a family must be surer than any that was wrong.
+    """
     classes = (*NOTICES, UNKNOWN_CLASS, NONE)
-    rows: list[tuple[list[str], int]] = []
-    for name, notices in (*NOTICES.items(), (UNKNOWN_CLASS, UNKNOWN), (NONE, NOT_LICENCES)):
-        rows += [(tokens(f"{b} {n} {a}"), classes.index(name)) for n in notices for b in BEFORE for a in AFTER]
-    rows += [(tokens(x), len(classes) - 1) for x in (*BEFORE[3:], AFTER[3])]
-    spoken = re.compile(r"licen[sc]e|copyright|spdx|creative commons|public domain", re.I)
-    plain = [tokens(p) for p in corpus if not spoken.search(p)]
-    # n-grams count as features only if one of their words is rare in the corpus's own paragraphs and not a stop word
-    seen = Counter(w for words in plain for w in set(words))
-    usual = STOP_WORDS | {w for w, n in seen.items() if n > max(2, common * len(plain))}
-    vocabulary = sorted(g for g in set().union(*(grams(w) for w, c in rows if c < len(classes) - 1)) if not usual.issuperset(g.split(" ")))
-    at = {g: i for i, g in enumerate(vocabulary)}
-    rows += [(words, len(classes) - 1) for words in plain]
-    x = np.zeros((len(rows), len(vocabulary)))
-    for i, (words, _) in enumerate(rows):
-        x[i, [at[g] for g in grams(words) if g in at]] = 1.0
-    y = np.array([c for _, c in rows])
-    back = np.array([zlib.crc32(" ".join(w).encode()) % 5 == 0 for w, _ in rows])  # held back for the temperature
-    share = 1.0 / np.bincount(y, minlength=len(classes))[y]  # each class weighs the same, none as some of them
-    share *= np.where(y == len(classes) - 1, none_weight, 1)
-    train = ~back
-    xt, yt, st = x[train], np.eye(len(classes))[y[train]], (share[train] / share[train].sum())[:, None]
-    w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
-    rate = 2.0 / max((st * (xt * xt).sum(1, keepdims=True)).sum(), 1e-9)
-    for _ in range(steps):  # proximal gradient steps: the penalty sets small weights to zero
-        g = st * (_softmax(xt @ w + b) - yt)
-        w -= rate * (xt.T @ g)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
-        b -= rate * g.sum(0)
-    z, own = x[back] @ w + b, y[back]
-    loss = {t: -np.log(_softmax(z / t)[np.arange(len(own)), own] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)} if len(own) else {1.0: 0.0}
+    rows: Counter[tuple[frozenset[str], int, int]] = Counter()
+    words = vocabulary()
+    at = {g: i for i, g in enumerate(words)}
+    around = [(b, a) for b in BEFORE for a in AFTER]
+    for i, (name, licence, n) in enumerate(_notices()):
+        kept = list(enumerate(around)) if name in NOTICES else [(0, around[(i + 7 * k) % len(around)]) for k in range(3)]
+        for k, (b, a) in kept:
+            fold = k if name in NOTICES else zlib.crc32(licence.encode())
+            rows[frozenset(g for g in grams(tokens(f"{b} {n} {a}")) if g in at), classes.index(name), fold % folds] += 1
+    for i, own in enumerate([*(grams(tokens(x)) for x in (*BEFORE[3:], AFTER[3])), *plain]):
+        rows[frozenset(g for g in own if g in at), len(classes) - 1, i % folds] += 1
+    sets = [sorted(at[g] for g in own) for own, _, _ in rows]
+    y, fold, count = np.array([c for _, c, _ in rows]), np.array([f for _, _, f in rows]), np.array([*rows.values()], float)
+    share = count / np.bincount(y, count, len(classes))[y]  # each family weighs the same, none and unknown as some of them
+    share *= np.where(y >= len(classes) - 2, open_weight, 1)
+    z, own = np.zeros((len(rows), len(classes))), y
+    for f in range(folds):
+        back, train = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        w, b = _fitted(_Sets([sets[i] for i in train], len(words)), y[train], share[train], len(classes), penalty, steps)
+        z[back] = _Sets([sets[i] for i in back], len(words)).times(w) + b
+    w, b = _fitted(_Sets(sets, len(words)), y, share, len(classes), penalty, steps)
+    each = share / share.sum()
+    loss = {t: -(each * np.log(_softmax(z / t)[np.arange(len(own)), own] + 1e-12)).sum() for t in (0.1, 0.15, 0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
     temperature = min(loss, key=lambda t: (loss[t], t))
     p = _softmax(z / temperature)
     top = p.argmax(1)
     wrong = p.max(1)[(top != own) & (top < len(classes) - 2)]
     least = min(0.9, max(0.5, float(wrong.max()) if len(wrong) else 0.5))
-    used = np.abs(w).max(1) > 0
+    used = np.abs(w).max(1) > 1e-6
     weights = {g: tuple(np.round(w[i], 6).tolist()) for g, i in at.items() if used[i]}
     bias = np.round(b, 6)
     # anchors: without them all other classes together stay below none
@@ -187,7 +286,7 @@ def fit_licences(corpus: list[str], penalty: float = 3e-4, steps: int = 1500, co
         gain: dict[str, float] = {}
         for g, v in over.items():
             for word in g.split(" "):
-                if word not in usual:
+                if word not in STOP_WORDS:
                     gain[word] = gain.get(word, 0.0) + v[c]
         best = max(gain, key=lambda k: (gain[k], k))
         if gain[best] <= 0:
@@ -311,17 +410,24 @@ def scan_licences(docs: DataFrame, model: LicenceModel, text_col: str = "text",
     return out.select(*kept, F.coalesce(found, empty).alias("licences"))
 
 
-def fit_on(docs: DataFrame, max_paragraphs: int = 1500, max_chars: int = 2_000, text_col: str = "text") -> LicenceModel:
-    """Train with the ``max_paragraphs`` distinct paragraphs with the smallest hash among all of whole texts.
+def fit_on(docs: DataFrame, max_paragraphs: int = 1500, text_col: str = "text") -> LicenceModel:
+    """Train with the ``max_paragraphs`` distinct paragraphs with the smallest hash among all of whole texts, as rows of class none.
 
-    Paragraphs of more than ``max_chars`` characters are not drawn; only hashes are sorted. The bounds keep what the
-    driver gets small, whatever the input's size.
+    Paragraphs of any length are drawn, and those that speak of licences are then left out. The driver gets the
+    vocabulary's grams that each holds and no text. The sample serves as labelled rows only: the vocabulary does not
+    depend on the corpus.
     """
-    paragraphs = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.split(text_col, "\n", -1)).alias("t"))
-    hashed = paragraphs.filter((F.btrim("t") != "") & (F.length("t") <= max_chars)).select(F.xxhash64("t").alias("h"), "t")
+    lowered = ascii_lower(F.col(text_col))
+    paragraphs = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.split(lowered, "\n", -1)).alias("t")).filter(F.btrim("t") != "")
+    hashed = paragraphs.select(F.xxhash64("t").alias("h"), "t")
     last = hashed.select("h").distinct().orderBy("h").limit(max_paragraphs).agg(F.max("h")).first()[0]
-    sample = [] if last is None else hashed.filter(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t")).collect()
-    return fit_licences(sorted((r["t"] for r in sample), key=lambda p: (zlib.crc32(p.encode("utf-8", "surrogatepass")), p)))
+    if last is None:
+        return fit_licences([])
+    words = F.filter(F.split("t", GAP), lambda t: t != "")
+    drawn = hashed.filter((F.col("h") <= last) & ~F.col("t").rlike("licen[sc]e|copyright|spdx|creative commons|public domain")).select("h", words.alias("w"))
+    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit(""))))
+    held = F.array_sort(F.array_intersect(F.concat("w", pairs), _constant(vocabulary(), "array<string>")))
+    return fit_licences([r["g"] for r in drawn.groupBy("h").agg(F.min(held).alias("g")).orderBy("h").collect()])
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
