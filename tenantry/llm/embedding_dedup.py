@@ -51,7 +51,7 @@ def hadamard(y: np.ndarray) -> np.ndarray:
 
 
 def bucket_codes(x: np.ndarray, functions: int, tables: int, probes: int) -> np.ndarray:
-    """(rows, tables, probes) of bucket numbers for rows of unit length; probe 0 is the own bucket."""
+    """(rows, tables, probes) of bucket numbers for rows of unit length; probe 0 is the own bucket, -1 is none."""
     n, d = x.shape
     width = 1 << max(1, (d - 1).bit_length())
     signs = _signs(width, functions * tables)
@@ -77,7 +77,7 @@ def bucket_codes(x: np.ndarray, functions: int, tables: int, probes: int) -> np.
         order = np.argsort(loss, 1, kind="stable")[:, :probes]
         picked = np.take_along_axis(code, order, 1)
         if picked.shape[1] < probes:
-            picked = np.concatenate([picked, np.repeat(picked[:, :1], probes - picked.shape[1], 1)], 1)
+            picked = np.concatenate([picked, np.full((n, probes - picked.shape[1]), -1)], 1)
         out[:, t] = picked
     return out
 
@@ -207,13 +207,14 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
                     part = batch.iloc[at[start : start + 2048]]
                     codes = bucket_codes(unit_rows(part["embedding"].tolist()), functions, tables, probes)
                     rows = len(part) * tables * probes
-                    yield pd.DataFrame({
+                    made = pd.DataFrame({
                         "length": np.full(rows, length, np.int32),
                         "t": np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), len(part)),
                         "code": codes.ravel(),
                         "own": np.tile(np.arange(probes) == 0, len(part) * tables),
                         "id": np.repeat(part["id"].to_numpy(), tables * probes),
                     })
+                    yield made[made["code"] >= 0]
 
     index = scratch.write(classes.select("id", "embedding").mapInPandas(hashed, "length int, t int, code long, own boolean, id long"))
     bucket = ["length", "t", "code"]
@@ -233,6 +234,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
         return pd.concat(found) if found else pd.DataFrame({"id": [], "n": [], "root": []})
 
     found = scratch.write(work.groupBy("unit").applyInPandas(linked, "id long, n long, root long"))
+    scratch.drop(index, sizes)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     known = classes.select("f1", "f2", "id", "w").join(counts, "id", "left").join(comp, "id", "left")

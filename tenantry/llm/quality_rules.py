@@ -176,7 +176,9 @@ def mcd_estimates(points: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]
     # the half's covariance is smaller than the whole's, never larger
     scale = F.greatest(F.col("mid") / CHI2_MEDIAN, F.lit(1.0))
     out = best.join(mids, "g").join(middle.select("g", "n"), "g").select("g", "n", *MEANS, *[(F.col(c) * scale).alias(c) for c in COVS])
-    return scratch.write(out), few
+    written = scratch.write(out)
+    scratch.drop(*found, middle, best)
+    return written, few
 
 
 def _shrunk(own: DataFrame, wide: DataFrame, key: str) -> DataFrame:
@@ -206,6 +208,7 @@ def mcd_distances(stats: DataFrame, scratch: Scratch) -> DataFrame:
     levels = vectors.select("g", "g1", "g0").distinct()
     wide = _shrunk(estimates.join(levels.select(F.col("g1").alias("g"), "g0").distinct(), "g"), estimates, "g0")
     own = scratch.write(_factored(_shrunk(estimates.join(levels.select("g", "g1"), "g"), wide, "g1")).select("g", *MEANS, *FACTORS))
+    scratch.drop(vectors, points, estimates)
     return _with(keyed.drop("g1", "g0"), own, ["g"], few).withColumn("distance", _squared_distance()).drop("g", *MEANS, *FACTORS)
 
 
