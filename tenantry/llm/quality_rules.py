@@ -33,7 +33,9 @@ TRIAL, GO_ON = 2, 3
 SETTLED = 1e-2
 #: Vectors at which a group weighs as much as the wider one.
 PRIOR = 40.0
-#: The share of normal vectors beyond the bound. Statistics of texts have far heavier tails than normal vectors, so it is tiny.
+#: The share of normal vectors beyond the bound, a squared distance of 59.9. It is tuned, as statistics of texts have far
+#: heavier tails than normal vectors: of 3,302 labelled good documents that pass the base rule the largest distance
+#: is 58.6 and the 0.99 quantile 29; of 301 bad ones the median is 939 and the 0.05 quantile 295.
 TAIL = 3e-12
 CHI2_MEDIAN = 3.3567  # of 4 degrees of freedom
 #: Added to variances, so that a group whose rows agree in a statistic still has a covariance.
