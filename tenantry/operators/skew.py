@@ -17,10 +17,10 @@ def lookup(df: DataFrame, side: DataFrame, key: str, how: str = "left", spread:
     repeated for each salt. Without such keys it is a plain join.
     """
     hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > MANY_ROWS) & F.col(key).isNotNull()).select(F.col(key).alias("__hot"))
-    hot_keys = [r[0] for r in hot.limit(MOST_HOT + 1).collect()]
-    if not hot_keys or len(hot_keys) > MOST_HOT:
+    found = hot.limit(MOST_HOT + 1).count()
+    if not 0 < found <= MOST_HOT:
         return df.join(side, key, how)
-    keys = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in hot_keys], hot.schema))
+    keys = F.broadcast(hot)
     salt = F.pmod(F.xxhash64(spread) if spread else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int")
     left = df.join(keys, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), salt).otherwise(F.lit(0))).drop("__hot")
     every = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
