@@ -24,17 +24,22 @@ def _parsed(kind: str) -> DataType:
 
 @dataclass(frozen=True)
 class TableVersion:
-    """A table's name, its columns with their ids, the next free id and the value domains."""
+    """A table's name, its columns with their ids, the next free id, the value domains and every (column, id) there has been."""
 
     name: str
     struct: StructType
     next_id: int
     domains: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    named: frozenset[tuple[str, int]] = frozenset()
 
     @classmethod
     def first(cls, name: str, ddl: str, domains: dict[str, tuple[str, ...]] | None = None) -> TableVersion:
         fields = StructType.fromDDL(ddl).fields
-        return cls(name, StructType([_with_id(f, i + 1) for i, f in enumerate(fields)]), len(fields) + 1, domains or {})
+        return cls(name, StructType([_with_id(f, i + 1) for i, f in enumerate(fields)]), len(fields) + 1, domains or {}, frozenset((f.name, i + 1) for i, f in enumerate(fields)))
+
+    def scan_name(self, f: StructField) -> str:
+        """The name under which a column is scanned: its own, so that filters reach the files, unless another column bore it once."""
+        return f.name if {i for c, i in self.named if c == f.name} == {f.metadata[ID]} else f"__id{f.metadata[ID]}"
 
     def _field(self, column: str) -> StructField:
         if column not in self.struct.names:
@@ -53,7 +58,7 @@ class TableVersion:
         old = self._field(column)
         if to in self.struct.names:
             raise ValueError(f"{self.name} has a column {to}")
-        return replace(self, struct=self._swap(column, StructField(to, old.dataType, True, old.metadata)), domains={to if c == column else c: v for c, v in self.domains.items()})
+        return replace(self, struct=self._swap(column, StructField(to, old.dataType, True, old.metadata)), domains={to if c == column else c: v for c, v in self.domains.items()}, named=self.named | {(to, old.metadata[ID])})
 
     def drop(self, column: str) -> TableVersion:
         self._field(column)
@@ -63,7 +68,7 @@ class TableVersion:
         """A new column, null in all rows that are there."""
         if column in self.struct.names:
             raise ValueError(f"{self.name} has a column {column}")
-        return replace(self, struct=StructType([*self.struct.fields, _with_id(StructField(column, _parsed(kind)), self.next_id)]), next_id=self.next_id + 1)
+        return replace(self, struct=StructType([*self.struct.fields, _with_id(StructField(column, _parsed(kind)), self.next_id)]), next_id=self.next_id + 1, named=self.named | {(column, self.next_id)})
 
     def widen(self, column: str, kind: str) -> TableVersion:
         """A type that holds every value of the old one: int to long, float to double, decimals of more digits."""
@@ -102,12 +107,13 @@ def write(df: DataFrame, version: TableVersion, path: str, mode: str = "append")
 def read(spark: SparkSession, version: TableVersion, path: str) -> DataFrame:
     """All files under path, of whatever version, with this version's columns.
 
-    The session's reader is set to match by field id; it does so for schemas that carry ids and no others. The scan
-    reads under names of its own, made from ids, so that no filter is pushed to a column that bore the name before.
+    The session's reader is set to match by field id; it does so for schemas that carry ids and no others. Filters
+    are pushed down by name, to files that have it. A column whose name another one bore once is scanned under a name
+    made from its id, so that no filter reaches the wrong column.
     """
     spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
     spark.conf.set("spark.sql.parquet.fieldId.read.ignoreMissing", "true")
-    inner = StructType([StructField(f"__id{f.metadata[ID]}", f.dataType, True, f.metadata) for f in version.struct])
+    inner = StructType([StructField(version.scan_name(f), f.dataType, True, f.metadata) for f in version.struct])
     df = spark.read.schema(inner).parquet(path)
     return df.select(*[F.col(i.name).alias(f.name, metadata=f.metadata) for i, f in zip(inner, version.struct, strict=True)])
 

@@ -44,6 +44,10 @@ def test_filters_on_swapped_names_find_the_right_rows(spark, tmp_path):
     first = evolution.TableVersion.first("t", "a long, b long")
     evolution.write(spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 5000).alias("b")), first, path)
     swapped = evolution.read(spark, first.rename("a", "x").rename("b", "a").rename("x", "b"), path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(a,5)" not in plan(swapped.filter("a > 5"))
+    renamed = evolution.read(spark, first.rename("b", "c"), path)
+    assert "GreaterThan(a,5)" in plan(renamed.filter("a > 5")) and renamed.filter("c > 5500").count() == 499
     assert swapped.filter("a > 5500").count() == 499 and swapped.filter("b < 10").count() == 10 and swapped.filter("a < 10").isEmpty()
 
 
