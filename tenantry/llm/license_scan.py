@@ -160,7 +160,7 @@ BEFORE = ["", "Copyright (c) 2021 The Authors.", "License:", "Note:", "The code
 AFTER = ["", "See the LICENSE file for details.", "Some rights reserved.", "Thank you for reading."]
 
 # Words too usual to tell a notice.
-STOP_WORDS = set("a an and any are as at be been but by can do for from had has have he her his how if in into is it its may more no not of on one or our part see shall she should so some such than that the their them then there these they this those to two was we were what when which who will with without would you your 1 2 3 c all also following file code copy work use used note page reading thank new made make new time person people".split())
+STOP_WORDS = set("a an and any are as at be been but by can do for from had has have he her his how if in into is it its may more no not of on one or our part see shall she should so some such than that the their them then there these they this those to two was we were what when which who will with without would you your 1 2 3 c all also following file code copy work use used note page reading thank new made make time person people only under must any mit".split())
 
 NONE, UNKNOWN_CLASS = "none", "unknown"
 #: Words are runs of letters and digits, with single marks inside as in 2.0 or by-nc.
