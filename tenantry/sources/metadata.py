@@ -2,7 +2,7 @@
 
 Declared keys, unique sets, references and value domains are written into the schema metadata of Parquet files and are
 read back from any of them. Undeclared ones are found in two steps: mergeable distinct-count sketches, one pass over
-each table, rule out nearly all columns, and exact tests confirm or refute the rest.
+each table, rule out nearly all columns, and one exact pass over the values of the rest confirms or refutes them.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TABLES, Table
-from .workspace import Workspace
 
 CONSTRAINTS = "tenantry.constraints"
 FOUND = "kind string, tab string, col string, parent string, parent_col string, rule string"
 #: Size of the sketches (2^14 slots, standard error 0.8 %) and the error that a candidate may have.
 SLOTS, SLACK = 14, 0.04
+#: Columns that one number has bits for.
+BITS = 62
 
 
 def annotated(df: DataFrame, name: str, table: Table | None = None) -> DataFrame:
@@ -79,15 +80,22 @@ class Profile:
         return [c for c, p in self.found.items() if self.rows and p["known"] == self.rows and p["distinct"] >= self.rows * (1 - SLACK)]
 
 
-def _keys(profile: Profile) -> list[str]:
-    """The candidates of which no value is repeated, by one exact pass over all of them."""
-    asked = profile.key_candidates()
-    if not asked:
-        return []
-    tagged = [profile.df.select(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in asked]
-    repeated = functools.reduce(DataFrame.unionByName, tagged).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bad = {r["c"] for r in repeated.select("c").distinct().collect()}  # some of the columns
-    return [c for c in asked if c not in bad]
+def _held(columns: list[tuple[Profile, str]]) -> dict[tuple[str, str], tuple[int, set[tuple[str, str]]]]:
+    """For columns of one family: the exact number of each one's distinct values, and the columns that have them all.
+
+    A value is one row with a bit for each column that has it, whatever the number of candidates; the bits that all
+    values of a column share are the columns that hold it. Values with equal bits are counted before bits are taken apart.
+    """
+    names = [(p.name, c) for p, c in columns]
+    words = [f"w{i}" for i in range(-(-len(names) // BITS))]
+    bit = lambda i, w: F.lit(1 << i % BITS if w == f"w{i // BITS}" else 0).cast("long")
+    tagged = [p.df.select(_value(c, p.family[c]).alias("v"), *[bit(i, w).alias(w) for w in words]).filter("v is not null") for i, (p, c) in enumerate(columns)]
+    values = functools.reduce(DataFrame.unionByName, tagged).groupBy("v").agg(*[F.bit_or(w).alias(w) for w in words])
+    alike = values.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+    owners = F.array(*[F.when(F.col(f"w{i // BITS}").bitwiseAND(bit(i, f"w{i // BITS}")) != 0, i) for i in range(len(names))])
+    each = alike.select(F.explode(owners).alias("i"), "n", *words).filter("i is not null")
+    rows = each.groupBy("i").agg(F.sum("n").alias("n"), *[F.bit_and(w).alias(w) for w in words]).collect()  # one of each column
+    return {names[r["i"]]: (r["n"], {x for k, x in enumerate(names) if r[f"w{k // BITS}"] >> k % BITS & 1}) for r in rows}
 
 
 def _contained(spark: SparkSession, child: dict, parent: dict) -> bool:
@@ -116,11 +124,9 @@ def discover(tables: Mapping[str, DataFrame]) -> DataFrame:
     """
     spark = next(iter(tables.values())).sparkSession
     profiles = [Profile(n, df) for n, df in tables.items()]
-    keys = {p.name: _keys(p) for p in profiles}
-    found: list[tuple] = [("key", t, c, None, None, None) for t, cs in keys.items() for c in cs]
     asked = []
     for parent in profiles:
-        for key in keys[parent.name]:
+        for key in parent.key_candidates():
             for child in profiles:
                 if child.name != parent.name:
                     asked += [(child, c, parent, key) for c, kind in child.family.items() if kind == parent.family[key] and child.found[c]["known"]]
@@ -128,31 +134,15 @@ def discover(tables: Mapping[str, DataFrame]) -> DataFrame:
     if pairs:
         estimates = _unions(spark, pairs)
         asked = [a for a, (child, parent), both in zip(asked, pairs, estimates, strict=True) if _contained(spark, child | {"both": both}, parent)]
-        found += [("reference", child.name, c, parent.name, key, "named" if _bare(c) == _bare(key) else "values") for child, c, parent, key in _confirmed(spark, asked)]
+    columns = dict.fromkeys([(p, c) for p in profiles for c in p.key_candidates()] + [(child, c) for child, c, _, _ in asked])
+    held = {}
+    for family in dict.fromkeys(p.family[c] for p, c in columns):
+        held |= _held([(p, c) for p, c in columns if p.family[c] == family])
+    keys = [(p.name, c) for p in profiles for c in p.key_candidates() if held[p.name, c][0] == p.rows]
+    found: list[tuple] = [("key", t, c, None, None, None) for t, c in keys]
+    found += [("reference", child.name, c, parent.name, key, "named" if _bare(c) == _bare(key) else "values") for child, c, parent, key in asked if (parent.name, key) in keys and (parent.name, key) in held[child.name, c][1]]
     return spark.createDataFrame(found, FOUND)
 
 
 def _bare(column: str) -> str:
     return column.split("_", 1)[-1]
-
-
-def _confirmed(spark: SparkSession, asked: list[tuple]) -> list[tuple]:
-    """The pairs without a child value that the parent lacks, exact, by one join for each key.
-
-    Each child column is made distinct once, with partial sums, whatever the number of its candidates.
-    """
-    work, children, good = Workspace(spark), {}, []
-    for child, c, _, key in asked:
-        if (child.name, c) not in children:
-            kind = child.family[c]
-            children[child.name, c] = child.df.select(_value(c, kind).alias("v")).filter("v is not null").distinct()
-    written = {at: work.write(df) for at, df in children.items()}
-    for name, key in dict.fromkeys((p.name, key) for _, _, p, key in asked):
-        mine = [a for a in asked if (a[2].name, a[3]) == (name, key)]
-        parent = mine[0][2]
-        values = functools.reduce(DataFrame.unionByName, [written[child.name, c].select(F.lit(i).alias("i"), "v") for i, (child, c, _, _) in enumerate(mine)])
-        there = parent.df.select(_value(key, parent.family[key]).alias("v"))
-        bad = {r["i"] for r in values.join(there, "v", "left_anti").select("i").distinct().collect()}  # some of the pairs
-        good += [a for i, a in enumerate(mine) if i not in bad]
-    work.drop(*written.values())
-    return good

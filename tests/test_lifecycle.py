@@ -344,6 +344,23 @@ def test_discovery_is_exact(spark):
     assert [r[1:] for r in got if r[0] == "reference"] == [("child", "parent_id", "parent", "id", "named"), ("parent", "id", "child", "child_id", "named"), ("parent", "near", "child", "child_id", "values")]
 
 
+def test_discovery_joins_nothing(spark, monkeypatch):
+    """Each value is aggregated once; joins for several candidates are sorts that add up in one task."""
+    parent = spark.range(2000)
+    child = spark.range(1990).select(*[((F.col("id") + i) % 1990).alias(f"c{i}") for i in range(5)])
+    monkeypatch.setattr(type(parent), "join", None)
+    got = rows_of(metadata.discover({"parent": parent, "child": child.unionByName(child)}))
+    assert got == [("key", "parent", "id", None, None, None), *[("reference", "child", f"c{i}", "parent", "id", "values") for i in range(5)]]
+
+
+def test_discovery_of_more_columns_than_one_number_has_bits(spark):
+    n = metadata.BITS + 4
+    wide = spark.range(40).select(*[(F.col("id") + int(i == n - 1)).alias(f"c{i}") for i in range(n)])
+    got = rows_of(metadata.discover({"parent": spark.range(40), "wide": wide}))
+    assert {r[1:3] for r in got if r[0] == "key"} == {("parent", "id"), *[("wide", f"c{i}") for i in range(n)]}
+    assert {(r[1], r[2], r[4]) for r in got if r[0] == "reference"} == {x for i in range(n - 1) for x in (("wide", f"c{i}", "id"), ("parent", "id", f"c{i}"))}
+
+
 # the rest
 
 
