@@ -21,11 +21,10 @@ def sync(current: DataFrame, desired: DataFrame, owner: str, item: str, owners:
     links loses all.
     """
     touched = (owners if owners is not None else desired).select(owner).distinct()
-    wanted = desired.select(owner, item).distinct()
-    rest = current.join(touched, owner, "left_anti")
-    kept = current.join(touched, owner, "left_semi").join(wanted, [owner, item], "left_semi")
-    new = wanted.join(touched, owner, "left_semi").join(current, [owner, item], "left_anti")
-    return rest.unionByName(kept).unionByName(new, allowMissingColumns=True)
+    wanted = desired.select(owner, item).distinct().join(touched, owner, "left_semi")
+    mine = current.join(touched, owner, "left_semi")
+    new = wanted.join(mine.select(owner, item), [owner, item], "left_anti")
+    return current.join(touched, owner, "left_anti").unionByName(mine.join(wanted, [owner, item], "left_semi")).unionByName(new, allowMissingColumns=True)
 
 
 def attach_if_absent(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,10 +13,12 @@ from ..schema import TABLES
 
 #: Added to supplier keys, so that entity ids of companies and contractors differ.
 SUPPLIER_BASE = 1_000_000_000
+#: Lines of orders that a task joins.
+LINES_A_TASK = 1_000_000
 
 
 class Domain:
-    """Lazy domain tables of one folder of test data; each is a plan, nothing is read before a query runs."""
+    """Lazy domain tables of one folder of test data; each is a plan, nothing but the number of lines is read before a query runs."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -63,10 +65,21 @@ class Domain:
         number = F.regexp_extract("name", "([0-9]+)", 1).cast("long")
         return self.raw("part").select(F.col("p_brand").alias("name")).distinct().select(number.alias("id"), (number % 5).alias("tenant_id"), "name")
 
+    def _lines(self, column: str) -> DataFrame:
+        """(o_custkey, column) of every line.
+
+        Larger tables are dealt out by order to as many tasks as they have LINES_A_TASK, or more, so that what a task sorts and
+        aggregates does not grow with them. Their number comes from the files' footers.
+        """
+        o, li = self.raw("orders").select("o_orderkey", "o_custkey"), self.raw("lineitem").select("l_orderkey", column)
+        if (tasks := -(-li.count() // LINES_A_TASK)) > 1:
+            tasks = max(tasks, self.spark.sparkContext.defaultParallelism)
+            o, li = o.repartition(tasks, "o_orderkey"), li.repartition(tasks, "l_orderkey")
+        return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", column)
+
     def company_brands(self) -> DataFrame:
-        o, li = self.raw("orders").select("o_orderkey", "o_custkey"), self.raw("lineitem").select("l_orderkey", "l_partkey")
         p = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long").alias("brand_id"))
-        return li.join(p, "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("company_id"), "brand_id").distinct()
+        return self._lines("l_partkey").join(p, "l_partkey").select(F.col("o_custkey").alias("company_id"), "brand_id").distinct()
 
     def organization_companies(self) -> DataFrame:
         """Several groups for a company: one link for each order, to the group orderkey mod 25."""
@@ -76,8 +89,7 @@ class Domain:
         """Each customer at its nation, each supplier at the nations whose customers ordered from it; the region is null for every third."""
         c = self.raw("customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").cast("long").alias("location_id"), F.col("c_mktsegment").alias("nace_code"))
         own = c.select("location_id", F.col("entity").alias("business_entity_id"), "nace_code")
-        o, li = self.raw("orders").select("o_orderkey", "o_custkey"), self.raw("lineitem").select("l_orderkey", "l_suppkey")
-        far = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("entity")).select("location_id", (F.col("l_suppkey") + SUPPLIER_BASE).alias("business_entity_id")).distinct()
+        far = self._lines("l_suppkey").join(c, F.col("o_custkey") == F.col("entity")).select("location_id", (F.col("l_suppkey") + SUPPLIER_BASE).alias("business_entity_id")).distinct()
         far = far.withColumn("nace_code", F.lit("SUPPLY"))
         both = own.unionByName(far)
         region = F.when(F.col("business_entity_id") % 3 != 0, F.col("location_id") * 10 + F.col("business_entity_id") % 5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources import metadata, tables
-from ..sources.workspace import new_dir
+from ..sources.workspace import Workspace, new_dir
 from . import commands
 from .mapping import SUPPLIER_BASE, Domain
 from .queries import CTX, SQL, _outcome, query
@@ -80,7 +80,9 @@ def delete_company(d: Domain) -> DataFrame:
 @query("SELECT 'brands' AS part, id, name AS value FROM bra UNION ALL SELECT 'brands', 99, 'fresh' UNION ALL SELECT 'company_brands', company_id, brand_id::VARCHAR FROM cb UNION ALL SELECT 'company_brands', c, '99' FROM asked UNION ALL SELECT 'broken', c, 'company_in_tenant' FROM asked WHERE c NOT IN (SELECT com.id FROM com JOIN ent ON ent.id = com.business_entity_id WHERE tenant_id = 1)", "bra", "cb", "com", "ent")
 def create_brand(d: Domain) -> DataFrame:
     """A brand of three companies, not all of which are the tenant's."""
-    new, found = commands.create_brand(d.state("tenants", "business_entities", "companies", "brands", "company_brands"), CTX, [1, 2, 3], id=99, name="fresh")
+    state = d.state("tenants", "business_entities", "companies", "brands", "company_brands")
+    state["company_brands"] = Workspace(d.spark).write(state["company_brands"])  # read several times, derived once
+    new, found = commands.create_brand(state, CTX, [1, 2, 3], id=99, name="fresh")
     carried = new["company_brands"].select(F.lit("company_brands").alias("part"), F.col("company_id").alias("id"), F.col("brand_id").cast("string").alias("value"))
     return _outcome((new, found), brands="name").unionByName(carried)
 

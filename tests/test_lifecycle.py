@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tenantry.context import TenantContext
 from tenantry.functions import collation
 from tenantry.functions import columns as C
-from tenantry.operators import hierarchy, relations, rules, sequences, skew
-from tenantry.plans import batch
+from tenantry.operators import hierarchy, reconcile, relations, rules, sequences, skew
+from tenantry.plans import batch, mapping
 from tenantry.plans import commands as cmd
+from tenantry.plans.mapping import Domain
+from tenantry.plans.queries import QUERIES
 from tenantry.schema import TABLES, Reference, Table
 from tenantry.sources import dump, evolution, layout, metadata, tables
 from tenantry.sources.store import StaleVersion, Store
@@ -361,6 +363,37 @@ def test_discovery_of_more_columns_than_one_number_has_bits(spark):
     assert {(r[1], r[2], r[4]) for r in got if r[0] == "reference"} == {x for i in range(n - 1) for x in (("wide", f"c{i}", "id"), ("parent", "id", f"c{i}"))}
 
 
+# states that are derived once
+
+
+def test_brand_is_created_over_links_that_are_derived_once(spark, sf_dir):
+    """What the command gives reads the written links, not the lines they come from, once for each of its rules."""
+    assert not [f for f in QUERIES["create_brand"](spark, sf_dir).inputFiles() if "lineitem" in f]
+
+
+def test_lines_are_dealt_out_by_their_number(spark, sf_dir, monkeypatch):
+    whole = Domain(spark, sf_dir)
+    brands, links = rows_of(whole.company_brands()), rows_of(whole.location_business_entities())
+    monkeypatch.setattr(mapping, "LINES_A_TASK", 100)
+    assert whole._lines("l_partkey").count() == whole.raw("lineitem").count()
+    assert "hashpartitioning(l_orderkey" in whole.company_brands()._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(whole.company_brands()) == brands and rows_of(whole.location_business_entities()) == links
+
+
+def test_sync_of_rows_that_repeat_or_lack_a_key(spark):
+    rng = random.Random(5)
+    for owners in (None, [1, 4, None]):
+        some = lambda n: [(rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2, 3, 4])) for _ in range(n)]
+        now, want = [(*r, i) for i, r in enumerate(some(40))], some(8)
+        touched = {o for o in (owners or [w[0] for w in want]) if o}
+        pairs = {w for w in want if None not in w and w[0] in touched}
+        stay = [r for r in now if r[0] not in touched or r[:2] in pairs]
+        new = {w for w in want if w[0] in touched and w not in {r[:2] for r in now if None not in r}}
+        named = spark.createDataFrame([(o,) for o in owners], "o int") if owners else None
+        got = reconcile.sync(spark.createDataFrame(now, "o int, i int, a int"), spark.createDataFrame(want, "o int, i int"), "o", "i", named)
+        assert rows_of(got) == sorted([*stay, *[(*w, None) for w in new]], key=repr)
+
+
 # the rest
 
 
